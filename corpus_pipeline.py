@@ -1,20 +1,45 @@
-"""Corpus pipeline over documents; each stage is written as Parquet and read again by the next."""
+"""Corpus pipeline over documents: toxicity, language, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result
+is written as Parquet in the shared folder and read again as the next one's docs. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from tidemill.llm.packing import pack
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.llm import language_id, packing, simhash, toxicity
+from tidemill.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold; learned from this stage's documents and their labels."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; null texts, texts without a letter and undecided ones go."""
+    return language_id.keep_told(docs, language_id.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return simhash.keep_one(docs)
 
 
-def packed(spark, docs, sf_dir):
-    return pack(docs)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [("toxicity", drop_toxic), ("language_id", keep_told_languages), ("simhash_near_dedup", drop_near_duplicates), ("best_fit_packing", pack)]
+#: Trained models and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

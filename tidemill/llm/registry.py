@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
+from .language_id import op8_language_id
+from .media import op2_media_columns
 from .packing import op9_best_fit_packing
+from .simhash import op10_simhash
 from .token_counts import op6_token_counts
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op6_token_counts, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_toxicity, op4_bpe_codec, op6_token_counts, op8_language_id, op9_best_fit_packing, op10_simhash)}
 SQL: dict[str, str] = {}
