@@ -90,18 +90,18 @@ def _distance(a: str, b: str):
 
 
 def _entries(codes: DataFrame, segments: list[tuple[int, int, int]], ball: bool) -> DataFrame:
-    """(key, node, sketch, own) of each segment (word, first bit, bits): its own value and, with ball, one more bit set."""
-    keys = []
-    for k, (word, first, bits) in enumerate(segments):
-        value = F.shiftrightunsigned(F.col("code")[word], first).bitwiseAND(F.lit((1 << bits) - 1))
-        tag = F.lit(k << bits).cast("long") if bits < 48 else F.lit(0).cast("long")
-        key = lambda v, k=k, tag=tag, bits=bits: v.bitwiseOR(tag) if bits < 48 else F.xxhash64(v, F.lit(k))
-        keys.append(F.struct(key(value).alias("key"), F.lit(True).alias("own")))
-        for bit in range(bits) if ball else ():
-            flipped = F.when(value.bitwiseAND(F.lit(1 << bit)) == 0, F.struct(key(value.bitwiseOR(F.lit(1 << bit))).alias("key"), F.lit(False).alias("own")))
-            keys.append(flipped)
-    rows = codes.select("node", F.col("code")[0].alias("sketch"), F.explode(F.array(*keys)).alias("e")).where("e is not null")
-    return rows.select("e.key", "node", "sketch", "e.own")
+    """(key, node, sketch, own) of each segment (word, first bit, bits): its own value and, with ball, one more bit set.
+
+    All segments have the same number of bits. What to look up is a constant array, so the
+    generated code stays small.
+    """
+    bits = segments[0][2]
+    masks = [0] + [1 << b for b in range(bits) if ball]
+    spec = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(word).alias("word"), F.lit(first).alias("first"), F.lit(m).cast("long").alias("mask")) for k, (word, first, _) in enumerate(segments) for m in masks]
+    rows = codes.select("node", "code", F.explode(F.array(*spec)).alias("s"))
+    rows = rows.select("node", "s.k", "s.mask", F.expr("code[0]").alias("sketch"), F.expr(f"shiftrightunsigned(code[s.word], s.first) & {(1 << bits) - 1}L").alias("value"))
+    key = F.expr(f"shiftleft(k, {bits}) | value | mask")
+    return rows.where("value & mask = 0").select(key.alias("key"), "node", "sketch", (F.col("mask") == 0).alias("own"))
 
 
 def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], most: int, verify, hot: int = 64, stand: int = 3) -> DataFrame:

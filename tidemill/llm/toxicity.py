@@ -1,6 +1,6 @@
 """Operator 3: toxicity by a counterfactually regularised classifier.
 
-A logistic model over which words a text has. Training pairs each labelled text that has
+A logistic model over which words and word beginnings a text has. Training pairs each labelled text that has
 identity terms with a counterfactual in which they are swapped for others of their group, and
 penalises the squared change of the logit between the two (Garg et al., 2019). Identity words
 that merely go along with toxic labels so lose their weight.
@@ -27,6 +27,7 @@ IDENTITY = (
     ("immigrant", "citizen"), ("immigrants", "citizens"), ("refugees", "residents"), ("old", "young"), ("blind", "sighted"), ("deaf", "hearing"),
 )
 THRESHOLD = 0.3
+STEMS = range(4, 9)
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -34,15 +35,20 @@ def swaps() -> dict[str, str]:
     return {a: group[(i + 1) % len(group)] for group in IDENTITY for i, a in enumerate(group)}
 
 
-def fit(x: np.ndarray, y: np.ndarray, x_swapped: np.ndarray, penalty: float = 5.0, lasso: float = 0.002, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def features(word: str) -> list[str]:
+    """The word and its beginnings of 4 to 8 letters."""
+    return [word] + [f"{word[:n]}-" for n in STEMS if len(word) > n]
+
+
+def fit(x: np.ndarray, y: np.ndarray, x_swapped: np.ndarray, share: float | None = None, penalty: float = 5.0, lasso: float = 0.0005, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient.
 
-    Mean log loss with the classes weighted alike, plus penalty * mean squared logit change
-    between x and x_swapped, plus ridge and lasso on the weights.
+    Mean log loss with toxic rows weighted to `share` of all (None: as they are), plus penalty *
+    mean squared logit change between x and x_swapped, plus ridge and lasso on the weights.
     """
     n, d = x.shape
-    share = y.mean()
-    weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / n
+    share = y.mean() if share is None else share
+    weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())) / n
     moved = x_swapped - x
     moved = moved[np.any(moved != 0, axis=1)]
     gram = 2 * penalty / n * (moved.T @ moved)
@@ -73,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words:
     """{"weights": {word: weight}, "bias": b} from rows whose crc32(doc_id as text) mod 4 is not 2.
 
     The sample takes up to most_rows labelled documents of each class, by smallest xxhash64 of
-    their id; most_words words are kept by chi-square. Both bounds hold at every size, and the
+    their id; most_words words and beginnings are kept by chi-square. Both bounds hold at every size, and the
     driver gets at most 2 * most_rows rows of at most most_words + identity terms numbers. Null
     labels, ids and texts are left out; an id with several labels counts as toxic if any says so.
     Without both classes the model says 0.5 * (1 + share of toxic) for empty weights.
@@ -83,10 +89,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words:
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc32_of(F.col("doc_id")) % 4 != 2).withColumn("toxic", (F.col("toxic") == 1).cast("int"))
     by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = stored(known)
+    all_of = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = known.withColumn("at", F.row_number().over(by)).where(F.col("at") <= most_rows).drop("at")  # at most 2 * most_rows ids
     texts = pick(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    words = stored(texts.select("doc_id", "toxic", F.explode(words).alias("word")).distinct())
+    found = texts.select("doc_id", "toxic", F.explode(words).alias("whole"))
+    parts = F.filter(F.array(F.col("whole"), *[F.when(F.length("whole") > n, F.concat(F.substring("whole", 1, n), F.lit("-"))) for n in STEMS]), lambda w: w.isNotNull())
+    words = stored(found.select("doc_id", "toxic", F.explode(parts).alias("word")).distinct())
     sizes = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -111,13 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words:
     swapped[:, [i for i, _ in terms_at]] = 0
     for i, j in terms_at:
         swapped[:, j] = np.maximum(swapped[:, j], x[:, i])
-    w, bias = fit(x, y, swapped)
+    w, bias = fit(x, y, swapped, all_of[1] / (all_of[0] + all_of[1]))
     return {"weights": {t: float(v) for t, v in zip(names, w) if v}, "bias": bias}
 
 
 def _scorer(model: dict):
     weights, bias = model["weights"], model["bias"]
-    memo = Memo(lambda t: tuple(w for w in set(_word.findall(t.lower())) if w in weights), most=500_000)
+    memo = Memo(lambda t: tuple({f for w in _word.findall(t.lower()) for f in features(w) if f in weights}), most=500_000)
 
     def score(text: str | None) -> float:
         found = {w for t in set(text.split()) for w in memo[t]} if text else ()
