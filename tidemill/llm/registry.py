@@ -9,6 +9,7 @@ from .packing import op9_best_fit_packing
 from .simhash import op10_simhash
 from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
+from .warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_toxicity, op4_bpe_codec, op6_token_counts, op8_language_id, op9_best_fit_packing, op10_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_media_columns, op3_toxicity, op4_bpe_codec, op6_token_counts, op8_language_id, op9_best_fit_packing, op10_simhash)}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL}
