@@ -17,7 +17,7 @@ def hash_bootstrap(rows: DataFrame, key: str, values: list[str], replicates: int
     executors; any engine with md5 gives the same draws. Rows times replicates are aggregated
     where they are made.
     """
-    reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("long"))
+    reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")))
     u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     weight, below = F.lit(0), 0.0
@@ -61,7 +61,7 @@ def paired_bootstrap(differences: DataFrame, values: list[str], replicates: int
         return pd.DataFrame({"metric": values, "mean": x.mean(axis=0), "low": low, "high": high, "se": means.std(axis=0, ddof=1), "p_positive": (means > 0).mean(axis=0), "p_two_sided": p})
 
     schema = "metric string, mean double, low double, high double, se double, p_positive double, p_two_sided double"
-    return differences.select(*values).groupBy(F.lit(0)).applyInPandas(run, schema)
+    return differences.select(*values, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, schema)
 
 
 def erfc(x):
