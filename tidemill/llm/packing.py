@@ -136,7 +136,8 @@ def cut(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Data
     """Pieces of at most `size` ids of each document's ids followed by id 0, with their rank by length and task."""
 
     def make():
-        bpe, memo = load(tokenizer), memo_of(tokenizer, "u32", _entry)
+        # ids by the library's model; words are split as operator 4 does
+        bpe, memo = load(tokenizer, library=True), memo_of(tokenizer, "u32", _entry, library=True, most=500_000)
         task, ranks = TaskContext.get().partitionId(), array("q", [0] * (size + 1))
 
         def run(batch):

@@ -37,7 +37,8 @@ def byte_symbols() -> list[str]:
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
+        """library: merges by the tokeniser library's own model instead of the segment tree."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -57,6 +58,7 @@ class WordBpe:
         self.by_piece = Memo(self.piece, most=500_000, longest=32)
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.model, self.symbols = (tokenizer.model if library else None), symbols
         self.by_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = [s[:2] for s in self.special]
 
@@ -130,6 +132,8 @@ class WordBpe:
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
+        if self.model:
+            return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in raw]))]
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
         return self.merge(ids)
@@ -158,14 +162,14 @@ class WordBpe:
         return " ".join([self.token[i] for i in ids if i in self.token])
 
 
-def load(path: str | None) -> WordBpe:
+def load(path: str | None, library: bool = False) -> WordBpe:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return once(("word_bpe", path), lambda: WordBpe(path))
+    return once(("word_bpe", path, library), lambda: WordBpe(path, library))
 
 
-def memo_of(path: str | None, kind: str, f) -> Memo:
+def memo_of(path: str | None, kind: str, f, library: bool = False, most: int = 250_000) -> Memo:
     """A memo of f(bpe, word), shared by the tasks of this worker."""
-    return once(("word_bpe_memo", path, kind), lambda: Memo(lambda w, bpe=load(path): f(bpe, w), most=250_000))
+    return once(("word_bpe_memo", path, kind), lambda: Memo(lambda w, bpe=load(path, library): f(bpe, w), most=most))
