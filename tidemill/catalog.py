@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, preparation
+from .plans import evaluation, preparation, search
 
-_PARTS = (preparation, evaluation)
+_PARTS = (preparation, evaluation, search)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -51,8 +51,8 @@ def policy(rows: DataFrame, bucket: str | None = None) -> DataFrame:
     ]
     if not bucket:
         return rows.agg(*aggs)
-    sets = rows.rollup(F.col(bucket).alias("bucket")).agg(*aggs, F.grouping("bucket").alias("_all"))
-    return sets.withColumn("bucket", F.when(F.col("_all") == 1, "overall").otherwise(F.col("bucket"))).drop("_all")
+    sets = rows.withColumn("_bucket", F.col(bucket)).rollup("_bucket").agg(*aggs, F.grouping("_bucket").alias("_all"))
+    return sets.withColumn("bucket", F.when(F.col("_all") == 1, "overall").otherwise(F.col("_bucket"))).drop("_all", "_bucket")
 
 
 def threshold_grid(rows: DataFrame, score: str, grid: list[float], most_calls: float) -> DataFrame:
