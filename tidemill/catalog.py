@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, preparation, search
+from .plans import evaluation, preparation, relational, search
 
-_PARTS = (preparation, evaluation, search)
+_PARTS = (preparation, evaluation, search, relational)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -13,7 +13,7 @@ EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream over Parquet files of events; ts as a timestamp, for watermarks."""
+    """A stream over Parquet files of events; ts as a timestamp, for watermarks. A glob may name a file or a folder."""
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
