@@ -220,7 +220,7 @@ def _events(spark, tmp_path, rows):
 
     path = str(tmp_path / "events")
     pdf = pd.DataFrame([(i, pd.Timestamp(t, unit="s"), u, k, 1.0, "{}") for i, (t, u, k) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
-    spark.createDataFrame(pdf, streams.EVENT).write.parquet(path)
+    spark.createDataFrame(pdf, streams.EVENT).coalesce(1).write.parquet(path)
     return streams.read_events(spark, path)
 
 
