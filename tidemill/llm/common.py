@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import threading
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,10 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct, prefers_large_types=False)
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         f = make()
         for batch in batches:
             for part in slices(batch):
@@ -99,10 +103,19 @@ class Memo(dict):
 
 
 _kept: dict = {}
+_owner: list = [None]
+
+
+def claim(owner: str) -> None:
+    """Called as a task begins: a reused worker forgets what other operators keep, so memory doesn't add up over stages."""
+    if _owner[0] != owner:
+        _kept.clear()
+        _owner[0] = owner
+        gc.collect()
 
 
 def once(key: tuple, make: Callable):
-    """make()'s result, kept for the life of this Python process (a reused worker serves many tasks)."""
+    """make()'s result, kept in this Python process (a reused worker serves many tasks) until another operator claims it."""
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
@@ -112,6 +125,3 @@ def crc32_of(column) -> F.Column:
     """crc32 of an integer id as text."""
     return F.crc32(column.cast("string").cast("binary"))
 
-
-def columns_of(df: DataFrame, names: Sequence[str]) -> list:
-    return [df[n] for n in names]

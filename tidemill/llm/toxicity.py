@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, crc32_of, per_batch, pick, stored, table
+from .common import Memo, claim, crc32_of, per_batch, pick, stored, table
 
 #: Groups of terms that name people; a term is swapped for the next of its group.
 IDENTITY = (
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words:
 
 def _scorer(model: dict):
     weights, bias = model["weights"], model["bias"]
-    memo = Memo(lambda t: tuple({f for w in _word.findall(t.lower()) for f in features(w) if f in weights}), most=500_000)
+    memo = Memo(lambda t: tuple({f for w in _word.findall(t.lower()) for f in features(w) if f in weights}), most=150_000)
 
     def score(text: str | None) -> float:
         found = {w for t in set(text.split()) for w in memo[t]} if text else ()
@@ -151,6 +151,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
     at = docs.columns.index("text")
 
     def run(batches):
+        claim(__name__)
         score = _scorer(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
