@@ -8,83 +8,85 @@ maximisation on word counts: forward and backward sums give each piece's expecte
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, crc32_of, once, per_batch, pick, stored, table
+from .common import claim, crc32_of, once, per_batch, pick, stored, table
 from .token_counts import SPACE, load
 
 UNKNOWN = "und"
+#: Characters of a word up to which passes run together; runs kept at most.
+SHORT, KEPT = 40, 400_000
 _word = re.compile(r"[^\W\d_]+")
 
 
-def _vocabulary(path: str | None) -> tuple[dict[str, int], int]:
-    """Lower-case pieces of letters, with or without the leading space mark, and their longest length."""
+def _vocabulary(path: str | None) -> tuple[dict[str, int], dict[str, int]]:
+    """Lower-case pieces of letters, with or without the leading space mark; and their beginnings, with the piece's number or -1."""
 
     def make():
         names = sorted({p for p in load(path).score if p.lstrip(SPACE).isalpha() and p == p.lower() and p.count(SPACE) < 2})
-        return {p: i for i, p in enumerate(names)}, max(map(len, names))
+        pieces = {p: i for i, p in enumerate(names)}
+        return pieces, {p[:n]: pieces.get(p[:n], -1) for p in names for n in range(1, len(p) + 1)}
 
     return once(("lang_vocabulary", path), make)
 
 
-def lattice(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
-    """(start, end, piece) of every piece in the marked word, by end; -1: a character without a piece."""
+def lattice(word: str, starts: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(start, end, piece) of every piece in the marked word, by start; piece -1: a character without a piece."""
     s = SPACE + word
-    out = []
-    for end in range(1, len(s) + 1):
-        for start in range(max(0, end - longest), end):
-            i = pieces.get(s[start:end])
-            if i is not None:
+    n, out = len(s), []
+    for start in range(n):
+        if starts.get(s[start], -1) < 0:
+            out.append((start, start + 1, -1))
+        end = start + 1
+        while end <= n:
+            i = starts.get(s[start:end])
+            if i is None:
+                break
+            if i >= 0:
                 out.append((start, end, i))
-        if s[end - 1] not in pieces:
-            out.append((end - 1, end, -1))
+            end += 1
     return out
 
 
-def forward(n: int, arcs: list[tuple[int, int, int]], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all segmentations of each prefix, scaled: (alpha, log of alpha's scale); p: (languages, pieces + 1)."""
-    languages = len(p)
-    alpha, log = np.zeros((n + 1, languages)), np.zeros((n + 1, languages))
-    alpha[0] = 1
-    scale = np.zeros(languages)
-    at = 0
-    for end in range(1, n + 1):
-        total = alpha[end]
-        while at < len(arcs) and arcs[at][1] == end:
-            start, _, i = arcs[at]
-            total = total + alpha[start] * p[:, i] * (np.exp(log[start] - scale) if n > 40 else 1.0)
-            at += 1
-        alpha[end] = total
-        if n > 40:  # long runs: keep within range
-            grow = np.maximum(total, 1e-300)
-            alpha[end] = 1.0
-            scale = scale + np.log(grow)
-            log[end] = scale
-    return alpha, scale
-
-
-def log_likelihood(word: str, pieces: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
-    arcs = lattice(word, pieces, longest)
-    alpha, scale = forward(len(word) + 1, arcs, p)
-    return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+def log_likelihood(word: str, starts: dict[str, int], columns: list[list[float]]) -> list[float]:
+    """Log of the sum over all segmentations, by a forward pass for each language's piece probabilities.
+
+    Sums that get small are scaled up, with all that still follow from them.
+    """
+    arcs, n = lattice(word, starts), len(word) + 1
+    out = []
+    for p in columns:
+        alpha, log, at = [1.0] + [0.0] * n, 0.0, 0
+        for start, end, i in arcs:
+            if start != at:
+                at = start
+                if alpha[at] < 1e-100:
+                    low = alpha[at] or 1e-300
+                    log += math.log(low)
+                    alpha[at:] = [x / low for x in alpha[at : at + 40]] + alpha[at + 40 :]
+            alpha[end] += alpha[start] * p[i]
+        out.append(math.log(alpha[n] or 1e-300) + log)
+    return out
 
 
 def learn(counts: dict[str, dict[str, int]], tokenizer: str | None = None, rounds: int = 3, prior: float = 0.05) -> dict:
     """{"langs": [...], "p": (languages, pieces + 1)} from {lang: {word: count}}; the last column is a character without a piece."""
-    pieces, longest = _vocabulary(tokenizer)
+    pieces, starts = _vocabulary(tokenizer)
     langs = sorted(counts)
     size = len(pieces) + 1
     p = np.full((len(langs), size), 1.0 / size)
     p[:, -1] = 1e-6
-    arcs = {w: lattice(w, pieces, longest) for c in counts.values() for w in c if len(w) <= 40}
+    arcs = {w: lattice(w, starts) for c in counts.values() for w in c if len(w) <= 40}
     for _ in range(rounds):
         for k, lang in enumerate(langs):
-            row, used = p[k], np.full(size, prior)
+            row, used = p[k].tolist(), [prior] * size
             for word, times in counts[lang].items():
                 if word not in arcs:
                     continue
@@ -98,7 +100,7 @@ def learn(counts: dict[str, dict[str, int]], tokenizer: str | None = None, round
                     beta[start] += beta[end] * row[i]
                 for start, end, i in found:
                     used[i] += times * alpha[start] * row[i] * beta[end] / alpha[n]
-            p[k] = used / used.sum()
+            p[k] = np.array(used) / sum(used)
     return {"langs": langs, "p": p, "tokenizer": tokenizer}
 
 
@@ -123,45 +125,128 @@ def train(docs: DataFrame, most_docs: int = 500, most_words: int = 4000, tokeniz
     return learn(by_lang, tokenizer)
 
 
+class Forward:
+    """Forward passes of many words at once, over arcs that an Aho-Corasick automaton of the pieces finds."""
+
+    def __init__(self, pieces: dict[str, int], starts: dict[str, int], p: np.ndarray):
+        self.starts, self.columns = starts, [row.tolist() for row in p]
+        self.p = np.ascontiguousarray(p.T)
+        self.find = ahocorasick.Automaton()
+        for piece, i in pieces.items():
+            self.find.add_word(piece, len(piece) << 20 | i)
+        self.find.make_automaton()
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """(words, languages) of log likelihoods."""
+        out = np.empty((len(words), self.p.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        for k in range(0, len(short), 8192):
+            part = short[k : k + 8192]
+            out[part] = self._batch([words[i] for i in part])
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = log_likelihood(w, self.starts, self.columns)
+        return out
+
+    def _batch(self, words: list[str]) -> np.ndarray:
+        line = "\n".join([SPACE + w for w in words]) + "\n"
+        n = np.array([len(w) + 1 for w in words])
+        begin = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
+        word_at = np.repeat(np.arange(len(words)), n + 1)
+        found = np.array([at << 26 | value for at, value in self.find.iter(line)], np.int64)
+        at, value = found >> 26, found & (1 << 26) - 1
+        length, piece = value >> 20, value & (1 << 20) - 1
+        # a character that is no piece is an arc of its own
+        lone = np.ones(len(line), bool)
+        lone[at[length == 1]] = False
+        lone[begin + n] = False
+        lone = np.nonzero(lone)[0]
+        at, length, piece = np.concatenate([at, lone]), np.concatenate([length, np.ones_like(lone)]), np.concatenate([piece, np.full_like(lone, len(self.p) - 1)])
+        word = word_at[at]
+        end = at - begin[word] + 1
+        order = np.lexsort((word, end))
+        word, end, length, piece = word[order], end[order], length[order], piece[order]
+        alpha = np.zeros((len(words), int(n.max()) + 1, self.p.shape[1]))
+        alpha[:, 0] = 1
+        bounds = np.searchsorted(end, np.arange(1, int(n.max()) + 2))
+        for e, (i, j) in enumerate(zip(bounds, bounds[1:]), 1):
+            if i < j:
+                w = word[i:j]
+                first = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
+                alpha[w[first], e] = np.add.reduceat(alpha[w, e - length[i:j]] * self.p[piece[i:j]], first, axis=0)
+        return np.log(np.maximum(alpha[np.arange(len(words)), n], 1e-300))
+
+
 class Scorer:
-    """log likelihoods of whole texts; those of a worker's recent words are kept."""
+    """Languages of whole texts; the likelihoods of a worker's recent words are kept."""
 
     def __init__(self, model: dict):
-        self.pieces, self.longest = _vocabulary(model["tokenizer"])
-        self.langs, self.p = model["langs"], np.ascontiguousarray(model["p"])
-        self.rows = np.zeros((1024, len(self.langs)))
-        self.memo = Memo(self._put, most=1 << 62)
-        self.words = Memo(lambda w: log_likelihood(w, self.pieces, self.longest, self.p), most=400_000)
-        self.n = 0
-
-    def _put(self, run: str) -> int:
-        if self.n == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        found = _word.findall(run.lower())
-        # a run without a letter is told apart by its first number
-        self.rows[self.n] = sum([self.words[w] for w in found], np.zeros(len(self.langs))) if found else np.nan
-        self.n += 1
-        return self.n - 1
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        if self.n > 400_000:
-            self.memo.clear()
-            self.n = 0
-        runs = text.split()
+        pieces, starts = _vocabulary(model["tokenizer"])
+        self.langs = model["langs"]
+        self.forward = Forward(pieces, starts, model["p"]) if self.langs else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.of_run, self.of_word = np.empty((KEPT, len(self.langs))), np.empty((KEPT, len(self.langs)))
+
+    def _learn(self, runs: list[str]) -> None:
+        """Adds runs between white space: sums over their words; without a letter: not a number."""
+        found = [_word.findall(r.lower()) for r in runs]
+        new = list({w for words in found for w in words if w not in self.words})
+        if new:
+            n = len(self.words)
+            if n + len(new) > len(self.of_word):
+                self.of_word = np.vstack([self.of_word, np.empty((max(KEPT, len(new)), len(self.langs)))])
+            self.words.update(zip(new, range(n, n + len(new))))
+            self.of_word[n : n + len(new)] = self.forward(new)
+        count = np.array([len(w) for w in found])
+        at = np.array([self.words[w] for words in found for w in words], np.int64)
+        sums = np.full((len(runs), len(self.langs)), np.nan)
+        told = count > 0
+        if len(at):
+            first = np.concatenate([[0], np.cumsum(count[told])[:-1]])
+            sums[told] = np.add.reduceat(self.of_word[at], first, axis=0)
+        n = len(self.runs)
+        self.runs.update(zip(runs, range(n, n + len(runs))))
+        self.of_run[n : n + len(runs)] = sums
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float]] = []
+        for k in range(0, len(texts), 128):
+            parts = [(t or "").split() for t in texts[k : k + 128]]
+            if len(self.runs) > KEPT // 2:
+                self._clear()
+            seen: set[str] = set().union(*parts)
+            new = [r for r in seen if r not in self.runs]
+            for i in range(0, len(new), KEPT // 4):  # a text with very many different runs comes in several steps
+                if len(self.runs) + KEPT // 4 > KEPT:
+                    break
+                self._learn(new[i : i + KEPT // 4])
+            out += [self._of(runs) for runs in parts]
+        return out
+
+    def _of(self, runs: list[str]) -> tuple[str, float]:
         total, letters = np.zeros(len(self.langs)), False
-        for i in range(0, len(runs), 100_000):
-            at = [self.memo[r] for r in runs[i : i + 100_000]]
-            part = self.rows[at]
-            told = ~np.isnan(part[:, 0])
+        for i in range(0, len(runs), KEPT // 4):
+            some = runs[i : i + KEPT // 4]
+            missing = [r for r in set(some) if r not in self.runs]
+            if missing:
+                if len(self.runs) + len(missing) > KEPT:
+                    self._clear()
+                    missing = list(set(some))
+                self._learn(missing)
+            sums = self.of_run[[self.runs[r] for r in some]]
+            told = ~np.isnan(sums[:, 0])
             letters |= bool(told.any())
-            total += part[told].sum(axis=0)
+            total += sums[told].sum(axis=0)
         if not letters:
             return UNKNOWN, 0.0
-        share = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / share.sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def predictions(docs: DataFrame, model: dict) -> DataFrame:
@@ -175,7 +260,7 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
         scorer = once(("lang_scorer", key), lambda: Scorer(shared.value))
 
         def run(batch):
-            found = [scorer(t) for t in batch[1].to_pylist()]
+            found = scorer(batch[1].to_pylist())
             return {"doc_id": batch[0], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
         return run
@@ -191,11 +276,12 @@ def keep_told(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        claim(__name__)
         scorer = once(("lang_scorer", key), lambda: Scorer(shared.value))
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                told = [scorer(t) for t in part[at].to_pylist()]
+                told = scorer(part[at].to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in told], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
