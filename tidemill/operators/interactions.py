@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
 from .ordering import global_rank
 
 
@@ -46,6 +47,8 @@ def entity_dimension(split: DataFrame, key: str, index: str, head_share: float =
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
     )
+    shared_checkpoint(split.sparkSession)
+    base = base.checkpoint()  # a row per entity, read three times below
     positive = base.where("train_interactions > 0")
     cuts = positive.selectExpr(
         "cast(percentile_disc(0.2) within group (order by train_interactions) as bigint) as tail_max",
