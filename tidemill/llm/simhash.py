@@ -15,6 +15,7 @@ entry's main component are compared with the others, so no link between componen
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -104,45 +105,63 @@ def _entries(codes: DataFrame, segments: list[tuple[int, int, int]], ball: bool)
     return rows.where("value & mask = 0").select(key.alias("key"), "node", "sketch", (F.col("mask") == 0).alias("own"))
 
 
-def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], most: int, verify, hot: int = 64, stand: int = 3) -> DataFrame:
-    """(a, b): links whose components are those of all verified pairs.
+def _whole(x, y, words: int):
+    """Differing bits of two codes; written out, so that it is compiled."""
+    return reduce(lambda a, b: a + b, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)])
 
-    codes: (node long, code array<long>), one row per node. most: largest distance of the first
-    words of a candidate pair. verify: candidate pairs (a, b) to links. Within an entry of up to
-    `hot` nodes every pair is a candidate; see the module's text for larger entries.
+
+def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int, most: int, most_first: int | None = None, hot: int = 64, stand: int = 3) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of candidates within `most` differing bits.
+
+    codes: (node long, code array<long> of `words`), one row per node. most_first: largest
+    distance of the first word of a candidate pair. Within an entry of up to `hot` nodes every
+    pair is a candidate; see the module's text for larger entries.
     """
     codes = codes.select("node", "code")
+    most_first = most if most_first is None else most_first
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if words == 1:  # the first word is the whole code
+            return pairs
+        x, y = codes.select(F.col("node").alias("a"), F.col("code").alias("x")), codes.select(F.col("node").alias("b"), F.col("code").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(_whole(F.col("x"), F.col("y"), words) <= most).select("a", "b")
+
     own = _entries(codes, segments, ball=False)
     # one row more than `hot` tells a hot entry; limits per key apply before the shuffle
     ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("at") <= hot + 1)
     grouped = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "sketch"))).alias("all"))
     is_hot = F.size("all") > hot
-    entries = grouped.select("key", F.when(is_hot, F.slice("all", 1, stand)).otherwise(F.col("all")).alias("members"), is_hot.alias("hot"))
-    entries = stored(entries.where("hot or size(members) > 0"))
+    entries = stored(grouped.select("key", F.when(is_hot, F.slice("all", 1, stand)).otherwise(F.col("all")).alias("members"), is_hot.alias("hot")))
     probes = _entries(codes, segments, ball=True)
     near = F.filter(
         "members",
         lambda m: (m["node"] != F.col("node"))
-        & (F.bit_count(m["sketch"].bitwiseXOR(F.col("sketch"))) <= most)
+        & (F.bit_count(m["sketch"].bitwiseXOR(F.col("sketch"))) <= most_first)
         & (F.col("hot") | ~F.col("own") | (m["node"] > F.col("node"))),
     )
-    found = probes.join(entries, "key").select("node", F.explode(near).alias("m"))
+    # what explode makes is far larger than Spark expects: neither side may be broadcast
+    found = probes.hint("merge").join(entries, "key").select("node", F.explode(near).alias("m"))
     pairs = found.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
     links = verify(pairs).checkpoint()
     hot_keys = entries.where("hot").select("key")
     if hot_keys.isEmpty():
         return links
     labels = components(links)
-    rows = probes.join(hot_keys, "key").join(labels, "node", "left")
+    rows = probes.hint("merge").join(hot_keys, "key").hint("merge").join(labels, "node", "left")
     rows = stored(rows.select("key", "node", "sketch", "own", F.coalesce("component", "node").alias("label")))
     sizes = rows.where("own").groupBy("key", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     rows = rows.join(main, "key").withColumn("out", F.col("label") != F.col("main"))
-    x, y = rows.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "sketch", "label", "out")]), rows.where("own").select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "sketch", "label", "out")])
-    apart = (F.col("x_label") != F.col("y_label")) & (_distance("x_sketch", "y_sketch") <= most)
-    rest = x.where("x_out").join(y, "key").where(apart).unionByName(x.where("not x_out").join(y.where("y_out"), "key").where(apart))
-    pairs = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return links.unionByName(verify(pairs))
+    if words > 1:  # whole codes go with these rows, so that only links leave the join
+        rows = rows.hint("merge").join(codes, "node")
+    else:
+        rows = rows.withColumn("code", F.array("sketch"))
+    side = lambda df, p: df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "sketch", "label", "out", "code")])
+    x, y = side(rows, "x"), side(rows.where("own"), "y")
+    apart = (F.col("x_label") != F.col("y_label")) & (_distance("x_sketch", "y_sketch") <= most_first) & (_whole(F.col("x_code"), F.col("y_code"), words) <= most)
+    on = lambda a, b: a.hint("merge").join(b, (a["key"] == b["key"]) & apart).select("x_node", "y_node")
+    rest = on(x.where("x_out"), y).unionByName(on(x.where("not x_out"), y.where("y_out")))
+    return links.unionByName(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 64) -> DataFrame:
@@ -160,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 64) -> DataFra
     codes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     codes = stored(codes)
     nodes = codes.select(F.col("fp").alias("node"), F.array("fp").alias("code"))
-    links = mih_links(nodes, [(0, 0, 32), (0, 32, 32)], 3, lambda pairs: pairs, hot)
+    links = mih_links(nodes, [(0, 0, 32), (0, 32, 32)], 1, 3, hot=hot)
     found = components(links)
     labelled = codes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -194,7 +213,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return per_batch(docs, "rid long, doc_id long, node long, code array<long>", make)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, hot: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, hot: int = 16) -> DataFrame:
     """Rows of docs, all columns: of each group of near-duplicates that with the smallest doc_id.
 
     Texts of equal word sequence (A-Z as a-z) are duplicates; others are near-duplicates where
@@ -206,13 +225,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, hot: int = 64) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     nodes = stored(rows.groupBy("node").agg(F.first("code").alias("code"), first.alias("first")))
     codes = nodes.select("node", "code")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a").join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b")
-        distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-        return both.where(distance <= WIDE_MOST).select("a", "b")
-
-    found = components(mih_links(codes, WIDE_SEGMENTS, SKETCH_MOST, verify, hot))
+    found = components(mih_links(codes, WIDE_SEGMENTS, WIDE, WIDE_MOST, SKETCH_MOST, hot, stand=2))
     groups = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = groups.select(F.col("first.rid").alias("tidemill_rid"))
     return marked.join(kept, "tidemill_rid", "left_semi").drop("tidemill_rid")
