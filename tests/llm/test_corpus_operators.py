@@ -168,6 +168,34 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).collect() == []
 
 
+def kept_by_jaccard(texts):
+    """Ids kept by comparing the sets of five-word shingles of every pair; doc_id is the place."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    ids = range(len(texts))
+    groups = brute(list(ids), {i: i for i in ids}, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return set(groups.values())
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_keep_one_equals_brute_force_jaccard(spark, hot):
+    rng = np.random.default_rng(hot)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    line, texts = words(12), []
+    for k in range(150):  # groups of two: 0.80 exactly, then 0.70 to 0.95
+        a = words(104) if k < 75 else words(40 + k) + line
+        b = a + words(25) if k < 75 else [w if rng.random() > 0.02 else "changed" for w in a]
+        texts += [" ".join(a), " ".join(b)]
+    base = words(200)
+    for _ in range(25):  # one large group
+        t = list(base)
+        for at in rng.integers(0, 200, rng.integers(0, 9)):
+            t[at] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs, hot=hot).collect()} == kept_by_jaccard(texts)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)] + [(5, 5)]

@@ -188,44 +188,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 64) -> DataFra
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 16 words; the first five are indexed as 16 segments of 20 bits.
-WIDE = 16
-WIDE_SEGMENTS = [(k // 3, 20 * (k % 3), 20) for k in range(16)]
-#: Shingle sets of similarity s have vectors at cosine 2 s / (1 + s): at 0.8, 15.1 % of the bits differ.
-#: One and a half points more allow for the spread of 1024 bits.
-WIDE_MOST = 170
-SKETCH_MOST = 20
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(rid, doc_id, node, code): sets of shingles as 1024 bits; node is a hash of the word sequence."""
-
-    def make():
-        def run(batch):
-            nodes, codes = [], []
-            for raw in text_bytes(batch[2]):
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(raw.lower().split())))
-                codes.append(majority(spread(np.unique(shingle_hashes(raw, shingle)), WIDE)).view(np.int64))
-            return {"rid": batch[0], "doc_id": batch[1], "node": np.array(nodes, np.uint64).view(np.int64), "code": codes}
-
-        return run
-
-    return per_batch(docs, "rid long, doc_id long, node long, code array<long>", make)
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, hot: int = 16) -> DataFrame:
     """Rows of docs, all columns: of each group of near-duplicates that with the smallest doc_id.
 
     Texts of equal word sequence (A-Z as a-z) are duplicates; others are near-duplicates where
-    their five-word shingle sets are alike to about 0.8, as WIDE_MOST of 1024 bits tell. Null
-    doc_ids come last; of repeated rows one stays; empty texts are duplicates of each other.
+    their five-word shingle sets have a similarity (Jaccard) of 0.8 or more, and groups are the
+    components of these links. Null doc_ids come last; of repeated rows one stays; empty texts
+    are duplicates of each other.
     """
+    from . import shingle_join
+
     marked = docs.withColumn("tidemill_rid", F.monotonically_increasing_id())
-    rows = stored(wide_fingerprints(pick(marked, "tidemill_rid", "doc_id", "text"), shingle))
+    plain = pick(marked, "tidemill_rid", "doc_id", "text")
+    rows = stored(shingle_join.prefixes(plain, shingle, shingle_join.common_shingles(plain.select("text"), shingle)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    nodes = stored(rows.groupBy("node").agg(F.first("code").alias("code"), first.alias("first")))
-    codes = nodes.select("node", "code")
-    found = components(mih_links(codes, WIDE_SEGMENTS, WIDE, WIDE_MOST, SKETCH_MOST, hot, stand=2))
+    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first.alias("first")))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        rids = wanted.join(nodes.select("node", F.col("first.rid").alias("tidemill_rid")), "node")
+        return shingle_join.sets_of(plain.join(rids, "tidemill_rid").select("node", "text"), shingle)
+
+    found = components(shingle_join.links(nodes.select("node", "n", "prefix"), sets, hot))
     groups = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = groups.select(F.col("first.rid").alias("tidemill_rid"))
     return marked.join(kept, "tidemill_rid", "left_semi").drop("tidemill_rid")
