@@ -196,6 +196,20 @@ def test_keep_one_equals_brute_force_jaccard(spark, hot):
     assert {r["doc_id"] for r in simhash.keep_one(docs, hot=hot).collect()} == kept_by_jaccard(texts)
 
 
+def test_keep_one_of_short_texts(spark):
+    """One word added or changed at an end: links by the similarity itself, not by an estimate."""
+    texts = []
+    for k in range(20):
+        w = [f"t{k}x{i}" for i in range(20)]
+        for n in (8, 9, 10):  # 4 of 5, 5 of 6, 6 of 7 shingles: near-duplicates
+            texts += [" ".join([f"a{n}"] + w[:n - 1]), " ".join([f"a{n}"] + w[:n - 1] + [f"more{n}"])]
+        for n in (10, 11, 12):  # 5 of 7, 6 of 8, 7 of 9: not
+            texts += [" ".join([f"{v}{i}c{n}" for i in w[: n - 1]] + [end]) for v, end in (("v", "one"), ("v", "two"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == kept_by_jaccard(texts) and len(kept) == 20 * (3 + 6)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)] + [(5, 5)]
