@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 from hashlib import sha256
 
@@ -239,3 +240,17 @@ def test_licenses(spark, odd):
     assert got[2]["license"] == "MIT"
     assert got[3]["license"] is None and got[3]["licenses"] == []
     assert licenses.scan(odd).count() == len(ODD) + 2
+
+
+def test_licenses_inside_longer_texts(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS")
+    parts = "\n\n".join(textwrap.fill(p, 70) for p in (mit[:a], mit[a:b], mit[b:]))
+    code = "\n\n".join(f"def function_{i}(value):\n    return value + {i} * other" for i in range(60))
+    texts = {1: parts + "\n\n" + code, 2: "Some words. Licensed under CC BY-NC 4.0. And four words more.", 3: code, 4: parts + "\n\n" + code + "\n\n" + parts, 5: "Released under the MIT License."}
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert (got[1]["license"], got[1]["licenses"], got[1]["n_matches"]) == ("MIT", ["MIT"], 1) and got[1]["dice"] > 0.95
+    assert (got[2]["license"], got[2]["dice"], got[2]["n_matches"]) == ("CC-BY-NC-4.0-notice", 1.0, 1)
+    assert (got[3]["license"], got[3]["n_matches"]) == (None, 0)
+    assert (got[4]["license"], got[4]["n_matches"]) == ("MIT", 2)
+    assert (got[5]["license"], got[5]["n_matches"]) == ("MIT-notice", 1)

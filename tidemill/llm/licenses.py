@@ -1,6 +1,7 @@
 """Operator 7: licence scan by the Dice coefficient over word bigrams.
 
-Each line, each paragraph and the whole text is a passage. A passage of a bigrams reaches
+Each line, each paragraph and the whole text is a passage; besides, each template is looked for
+in windows of words anywhere in the text, across lines and paragraphs. A passage or window of a bigrams reaches
 similarity t with a template of b only if 2 min(a, b) / (a + b) >= t, which prunes templates by
 size alone; among the rest only templates that share a bigram are compared.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from math import ceil
 
 from pyspark.sql import DataFrame
 
@@ -110,21 +112,79 @@ class Templates:
         return min(scored, key=lambda s: (-s[0], s[1])) if scored else None
 
 
+    def windows(self, found: list[str]) -> list[tuple[float, str, int, int]]:
+        """(dice, template, first word, end) of windows of at least `least`, none inside that of a larger template.
+
+        Of one template's windows that overlap, the most similar stays. A best window begins and
+        ends with a bigram of the template, so only those are tried.
+        """
+        at: dict[str, list[tuple[int, tuple]]] = defaultdict(list)
+        for i, g in enumerate(zip(found, found[1:])):
+            for name in self.by_gram.get(g, ()):
+                at[name].append((i, g))
+        if self.least_words <= 1:  # templates of one word
+            for i, w in enumerate(found):
+                for name in self.by_gram.get((w, ""), ()):
+                    at[name].append((i, (w, "")))
+        kept: list[tuple[float, str, int, int]] = []
+        for name in sorted(at, key=lambda n: (-self.size[n], n)):
+            b, places, limits, seen = self.size[name], at[name], self.grams[name], []
+            longest, fewest = b * (2 - self.least) / self.least, b * self.least / (2 - self.least)
+            need = max(1, ceil(fewest - 1e-9))  # a window has as many bigrams of the template
+            for s in range(len(places) - need + 1):
+                start, shared, counts, top = places[s][0], 0, Counter(), None
+                if places[s + need - 1][0] - start + 1 > longest + 1e-9:
+                    continue
+                for i, g in places[s:]:
+                    a = i - start + 1
+                    if a > longest + 1e-9:
+                        break
+                    counts[g] += 1
+                    if counts[g] <= limits[g]:
+                        shared += 1
+                        dice = 2 * shared / (a + b)
+                        if dice >= self.least and (top is None or dice > top[0]):
+                            top = (dice, i)
+                if top:
+                    seen.append((top[0], name, start, top[1] + (1 if is_word(limits) else 2)))
+            own: list[tuple[float, str, int, int]] = []
+            for w in sorted(seen, key=lambda w: (-w[0], w[2], w[3])):
+                if not any(w[2] < o[3] and o[2] < w[3] for o in own) and not any(o[2] <= w[2] and w[3] <= o[3] for o in kept):
+                    own.append(w)
+            kept += own
+        return kept
+
+
+def is_word(grams: Counter) -> bool:
+    """Whether a template is a single word."""
+    return len(grams) == 1 and next(iter(grams))[1] == ""
+
+
 def passages(text: str):
-    """Lines, paragraphs of more than one line, and a text of more than one paragraph."""
-    yield from text.split("\n")
-    parts = _gap.split(text)
-    for part in parts:
-        if "\n" in part:
-            yield part
-    if len(parts) > 1:
-        yield text
+    """(first character, passage): lines, paragraphs of more than one line, and a text of more than one paragraph."""
+    start = 0
+    for line in text.split("\n"):
+        yield start, line
+        start += len(line) + 1
+    start, parts = 0, 0
+    for end, after in [m.span() for m in _gap.finditer(text)] + [(len(text), len(text))]:
+        if "\n" in text[start:end]:
+            yield start, text[start:end]
+        start, parts = after, parts + 1
+    if parts > 1:
+        yield 0, text
+
+
+def span(text: str, start: int, passage: str) -> tuple[int, int]:
+    """First word and end of a passage among the words of its text."""
+    first = len(words(text[:start]))
+    return first, first + len(words(passage))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """(doc_id, n_matches, licenses array, license, dice): matched passages, their licences, and the best with its similarity.
+    """(doc_id, n_matches, licenses array, license, dice): matched passages and windows, their licences, and the best with its similarity.
 
-    licenses are sorted and distinct; license and dice are null where nothing matches. A null
+    A window counts where no matched passage of the same licence overlaps it. licenses are sorted and distinct; license and dice are null where nothing matches. A null
     text counts as empty; null ids and repeated rows stay as they are; all passages are looked at.
     """
     texts = templates or TEMPLATES
@@ -144,7 +204,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         def run(batch):
             out = {k: [] for k in ("doc_id", "n_matches", "licenses", "license", "dice")}
             for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                hits = [h for p in passages(text) if p and (h := memo[p])] if text else []
+                found = [(h, i, p) for i, p in passages(text) if p and (h := memo[p])] if text else []
+                hits = [h for h, _, _ in found]
+                if text and (more := known.windows(words(text))):
+                    spans = [(h[1], *span(text, i, p)) for h, i, p in found]
+                    hits += [(d, n) for d, n, a, b in more if not any(n == m and a < y and x < b for m, x, y in spans)]
                 top = min(hits, key=lambda s: (-s[0], s[1])) if hits else (None, None)
                 for k, v in zip(out, (doc, len(hits), sorted({n for _, n in hits}), top[1], top[0])):
                     out[k].append(v)
