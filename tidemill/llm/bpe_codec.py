@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import per_batch, pick, table
-from .word_bpe import load, memo_of
-
-
-def _entry(bpe, word: str) -> tuple[str, str]:
-    ids = bpe.ids_of(word)
-    return " ".join(map(str, ids)), bpe.decode(ids)
+from .common import once, per_batch, pick, table
+from .word_bpe import load
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,33 +24,47 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
         bpe = load(tokenizer)
 
         def run(batch):
-            ids = [bpe.encode(t or "") for t in batch[1].to_pylist()]
-            return {id_col: batch[0], "ids": ids, "decoded": [bpe.decode(i) for i in ids]}
+            ids, bounds = bpe.encode_many(batch[1])
+            rows = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            return {id_col: batch[0], "ids": rows, "decoded": [bpe.decode(i) for i in rows]}
 
         return run
 
     return per_batch(pick(docs, id_col, text_col), f"`{id_col}` long, ids array<int>, decoded string", make)
 
 
+def _joined(names: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Names of each text's ids, joined by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), names.take(pa.array(ids))), pa.scalar(" ", names.type))
+
+
+def _sha256(texts: pa.Array) -> list[str]:
+    offsets, data = np.frombuffer(texts.buffers()[1], np.int64), memoryview(texts.buffers()[2] or b"")
+    return [sha256(data[a:b]).hexdigest() for a, b in zip(offsets[: len(texts)].tolist(), offsets[1 : len(texts) + 1].tolist())]
+
+
 def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same encoding.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode()'s results.
 
-    Words are encoded once per worker and kept in a bounded memo, so a batch holds texts and
-    digests, never arrays of ids. Nulls as in encode().
+    Ids and decodings of a few megabytes of text exist at a time; a very long text is alone.
+    Nulls, repeats and an empty table as in encode().
     """
 
     def make():
-        bpe, memo = load(tokenizer), memo_of(tokenizer, "digest", _entry)
+        bpe = load(tokenizer)
+
+        def names():
+            most = max(bpe.token) + 1
+            return pa.array([str(i) for i in range(most)], pa.large_string()), pa.array([bpe.token.get(i, "") for i in range(most)], pa.large_string())
+
+        numbers, tokens = once(("word_bpe_names", tokenizer), names)
 
         def run(batch):
-            n, a, b = [], [], []
-            for text in batch[1].to_pylist():
-                found = [memo[w] for w in bpe.words(text)] if text else []
-                ids = " ".join([x for x, _ in found])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(sha256(ids.encode()).hexdigest())
-                b.append(sha256(" ".join([x for _, x in found]).encode()).hexdigest())
-            return {"doc_id": batch[0], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+            ids, bounds = bpe.encode_many(batch[1])
+            return {
+                "doc_id": batch[0], "n_tokens": np.diff(bounds),
+                "ids_sha256": _sha256(_joined(numbers, ids, bounds)), "decoded_sha256": _sha256(_joined(tokens, ids, bounds)),
+            }
 
         return run
 
@@ -60,4 +72,5 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op4_bpe_codec(spark, sf_dir: str) -> DataFrame:
+    """digests() of the whole table documents with the file word_bpe_49k.json."""
     return digests(table(spark, sf_dir, "documents"))

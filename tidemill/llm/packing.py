@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, pick, stored, table
-from .word_bpe import load, memo_of
+from .word_bpe import load
 
 SIZE = 2048
 
@@ -128,26 +128,26 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return per_batch(ranked, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", make)
 
 
-def _entry(bpe, word: str) -> bytes:
-    return np.array(bpe.ids_of(word), dtype="<u4").tobytes()
-
-
 def cut(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
     """Pieces of at most `size` ids of each document's ids followed by id 0, with their rank by length and task."""
 
     def make():
-        # ids by the library's model; words are split as operator 4 does
-        bpe, memo = load(tokenizer, library=True), memo_of(tokenizer, "u32", _entry, library=True, most=500_000)
+        # merges by the library's model; texts are split as operator 4 does
+        bpe = load(tokenizer, library=True)
         task, ranks = TaskContext.get().partitionId(), array("q", [0] * (size + 1))
 
         def run(batch):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task")}
-            for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                raw = b"".join([memo[w] for w in bpe.words(text)] if text else []) + bytes(4)
-                for piece, start in enumerate(range(0, len(raw) // 4, size)):
-                    part = raw[4 * start : 4 * (start + size)]
-                    length = len(part) // 4
-                    for k, v in zip(out, (doc, piece, start, length, zlib.crc32(part), task, ranks[length])):
+            ids, bounds = bpe.encode_many(batch[1])
+            raw, bounds = memoryview(ids.tobytes()), bounds.tolist()
+            for doc, a, b in zip(batch[0].to_pylist(), bounds, bounds[1:]):
+                for piece, start in enumerate(range(0, b - a + 1, size)):
+                    end = min(start + size, b - a + 1)
+                    crc = zlib.crc32(raw[4 * (a + start) : 4 * min(a + end, b)])
+                    if end > b - a:  # the id 0 after the document
+                        crc = zlib.crc32(bytes(4), crc)
+                    length = end - start
+                    for k, v in zip(out, (doc, piece, start, length, crc, task, ranks[length])):
                         out[k].append(v)
                     ranks[length] += 1
             return out
@@ -168,4 +168,5 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Dat
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """pack() of the whole table documents: sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))

@@ -15,11 +15,14 @@ import json
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 from tokenizers.normalizers import NFC
 
-from .common import Memo, once
+from .common import Memo, Runs, as_texts, at_bounds, gathered, once, top_bytes
 
 NONE = 1 << 30
 #: From here on, letters and digits may differ between Unicode versions.
@@ -53,9 +56,18 @@ class WordBpe:
         self.last = [vocab[s + self.end] for s in symbols]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])"))
-        # on ASCII text the same pattern in its plain form
-        self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", "a-z0-9\t-\r "))
-        self.by_piece = Memo(self.piece, most=500_000, longest=32)
+        # the same pattern with classes written out for characters below NEW
+        chars = [chr(c) for c in range(ord(NEW))]
+        cls = lambda first: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == first)
+        white = "\\t-\\r \x85\xa0"
+        rest = split["pattern"]["Regex"].replace(r"[\p{L}]", f"[{cls('L')}]").replace(r"[\p{N}]", f"[{cls('N')}]")
+        self.low_pieces = re.compile(rest.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{cls('L')}{cls('N')}]") + "|\n")
+        self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", "a-z0-9\t-\r ") + "|\n")
+        #: ids of a piece as bytes (little-endian, 32 bits)
+        self.by_piece = Memo(self.piece, most=600_000, longest=32)
+        self.keys = np.array(sorted(self.merges), np.int64)
+        self.ranks = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
+        self.merged_ids, self.inner_ids, self.last_ids = np.array(self.merged, np.int32), np.array(self.inner, np.int32), np.array(self.last, np.int32)
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.model, self.symbols = (tokenizer.model if library else None), symbols
@@ -111,32 +123,139 @@ class WordBpe:
                     tree[leaf] = a
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a run without white space."""
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs, NONE where a pair doesn't merge."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE).astype(np.int32)
+
+    def merge_many(self, raws: list[bytes]) -> list[bytes]:
+        """merge() of many short words at once, each with a segment tree of its own: arrays of trees of one size.
+
+        Returns each word's ids as bytes.
+        """
+        out: list = [b""] * len(raws)
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        pairs = np.maximum(lengths - 1, 1)
+        size = 1
+        while size < 64:
+            chosen = np.nonzero((pairs <= size) & (pairs > size // 2) & (lengths > 0))[0]
+            for k in range(0, len(chosen), 1 << 14):
+                part = chosen[k : k + (1 << 14)]
+                self._merge_batch([raws[i] for i in part.tolist()], part.tolist(), lengths[part], size, out)
+            size *= 2
+        for i in np.nonzero(pairs > 32)[0].tolist():
+            ids = [self.inner[b] for b in raws[i]]
+            ids[-1] = self.last[raws[i][-1]]
+            out[i] = np.array(self.merge(ids), "<u4").tobytes()
+        return out
+
+    def _merge_batch(self, raws: list[bytes], places: list[int], n: np.ndarray, size: int, out: list) -> None:
+        rows = len(raws)
+        width = size + 1
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        ends = np.cumsum(n)
+        symbols = self.inner_ids[flat]
+        symbols[ends - 1] = self.last_ids[flat[ends - 1]]
+        ids = np.full((rows, width), -1, np.int32)
+        ids[np.arange(width) < n[:, None]] = symbols
+        tree = np.full((rows, 2 * size), NONE, np.int32)
+        real = np.arange(size) < n[:, None] - 1
+        tree[:, size:][real] = self._rank(ids[:, :-1][real], ids[:, 1:][real])
+        level = size // 2
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level //= 2
+        after = np.tile(np.arange(1, width + 1), (rows, 1)).ravel()
+        before = np.tile(np.arange(-1, width - 1), (rows, 1)).ravel()
+        t, x = tree.ravel(), ids.ravel()
+        active = np.arange(rows)
+        active = active[t[active * 2 * size + 1] != NONE]
+        while len(active):
+            root, own, count = active * 2 * size, active * width, n[active]
+            best = t[root + 1]
+            at = np.ones(len(active), np.int64)
+            while at[0] < size:
+                at *= 2
+                at += t[root + at] != best
+            i = at - size
+            j = after[own + i]
+            new = self.merged_ids[best]
+            x[own + i], x[own + j] = new, -1
+            k = after[own + j]
+            after[own + i] = k
+            more = k < count
+            follow = np.where(more, k, 0)
+            before[(own + k)[more]] = i[more]
+            t[root + size + i] = np.where(more, self._rank(new, x[own + follow]), NONE)
+            t[(root + size + j)[more]] = NONE
+            prior = i > 0
+            p = np.where(prior, before[own + i], 0)
+            t[(root + size + p)[prior]] = self._rank(x[own + p], new)[prior]
+            paths = [at, np.where(more, size + j, at), np.where(prior, size + p, at)]
+            level = size
+            while level > 1:
+                level //= 2
+                for m, path in enumerate(paths):
+                    path = paths[m] = path >> 1
+                    t[root + path] = np.minimum(t[root + 2 * path], t[root + 2 * path + 1])
+            active = active[t[root + 1] != NONE]
+        kept = ids >= 0
+        raw = ids[kept].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        start = 0
+        for place, stop in zip(places, stops):
+            out[place] = raw[start:stop]
+            start = stop
+
+    def split_pieces(self, words: list[str]) -> list[str]:
+        """Pieces of runs without white space, all in one list; a line feed ends each run."""
         # lower case is per character: a final sigma has no form of its own here
-        if word.isascii():
-            found = self.ascii_pieces.findall(word.lower())
-        elif max(word) < NEW:
-            found = self.pieces.findall("".join([c.lower() for c in word]))
-        else:
-            found = self.library_pieces(word)
-        out: list[int] = []
-        for piece in found:
-            out += self.by_piece[piece]
+        line = "\n".join(words).replace("Σ", "σ").lower() + "\n"
+        if line.isascii():
+            return self.ascii_pieces.findall(line)
+        if np.frombuffer(line.encode(), np.uint8).max() < 0xD4:  # below U+0500
+            return self.low_pieces.findall(line)
+        out: list[str] = []
+        for w in words:
+            out += self.low_pieces.findall(w.replace("Σ", "σ").lower()) if not w or max(w) < NEW else self.library_pieces(w)
+            out.append("\n")
         return out
 
+    def blocks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs, joined, and how many each has."""
+        if not words:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        pieces = self.split_pieces(words)
+        memo = self.by_piece
+        new = [p for p in set(pieces) if p not in memo]
+        if len(memo) + len(new) > memo.most:
+            memo.clear()
+            new = list(set(pieces))
+        memo["\n"], long = b"", {}
+        if new:
+            new = [p for p in new if p != "\n"]
+            found = [self.piece(p) for p in new] if self.model else self.merge_many([p.encode() for p in new])
+            for p, ids in zip(new, found):
+                (memo if len(p) <= memo.longest else long)[p] = ids
+        rows = [memo[p] for p in pieces] if not long else [long[p] if p in long else memo[p] for p in pieces]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) >> 2
+        ends = np.cumsum(sizes)[sizes == 0]  # a line feed is the only one without ids
+        return np.frombuffer(b"".join(rows), "<u4"), np.diff(ends, prepend=0)
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a run without white space."""
+        return self.blocks([word])[0].tolist()
+
     def library_pieces(self, word: str) -> list[str]:
         """Lower case and pieces by the tokeniser library: newer characters have classes of its own Unicode version."""
         low = self.normalizer.normalize_str(word)
         return [low[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(low)]
 
-    def piece(self, piece: str) -> list[int]:
-        raw = piece.encode()
+    def piece(self, piece: str) -> bytes:
         if self.model:
-            return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in raw]))]
-        ids = [self.inner[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
-        return self.merge(ids)
+            return np.array([t.id for t in self.model.tokenize("".join([self.symbols[b] for b in piece.encode()]))], "<u4").tobytes()
+        return self.merge_many([piece.encode()])[0]
 
     def words(self, text: str) -> list[str]:
         """Runs whose ids, one after the other, are the ids of the text; special strings are runs of their own."""
@@ -148,7 +267,7 @@ class WordBpe:
     def _words(text: str) -> list[str]:
         if text.isascii():
             return _space.findall(text) if _odd_space.search(text) else text.split()
-        text = unicodedata.normalize("NFC", text) if max(text) < NEW else NFC().normalize_str(text)
+        text = WordBpe.composed(text)
         return _space.findall(text) if _odd_space.search(text) else text.split()
 
     def ids_of(self, word: str) -> list[int]:
@@ -157,6 +276,37 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in self.ids_of(w)]
 
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text k has ids[bounds[k]:bounds[k + 1]]; a null text has none.
+
+        Runs are encoded once for all texts. Texts with characters from U+0300 on are normalised
+        first; texts with a special string are encoded apart.
+        """
+        texts = as_texts(texts)
+        special = pc.match_substring(texts, self.marks[0]).to_numpy(zero_copy_only=False) if self.marks else np.zeros(len(texts), bool)
+        for mark in self.marks[1:]:
+            special = special | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        high = top_bytes(texts) >= 0xCC
+        apart = {int(k): np.array(self.encode(texts[int(k)].as_py()), "<u4") for k in np.nonzero(special)[0]}
+        if high.any() or apart:
+            rows = texts.to_pylist()
+            for k in np.nonzero(high)[0]:
+                rows[k] = self.composed(rows[k])
+            for k in apart:
+                rows[k] = ""
+            texts = pa.array(rows, texts.type)
+        runs = Runs(texts)
+        ids, ends = gathered(*self.blocks(runs.unique.to_pylist()), runs.codes)
+        bounds = at_bounds(ends, runs.bounds)
+        if apart:
+            parts = [apart.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, bounds
+
+    @staticmethod
+    def composed(text: str) -> str:
+        return unicodedata.normalize("NFC", text) if max(text) < NEW else NFC().normalize_str(text)
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space: the file names no decoder. Unknown ids are left out."""
         return " ".join([self.token[i] for i in ids if i in self.token])
@@ -168,8 +318,3 @@ def load(path: str | None, library: bool = False) -> WordBpe:
 
         path = public_tokenizers.path("word_bpe_49k.json")
     return once(("word_bpe", path, library), lambda: WordBpe(path, library))
-
-
-def memo_of(path: str | None, kind: str, f, library: bool = False, most: int = 250_000) -> Memo:
-    """A memo of f(bpe, word), shared by the tasks of this worker."""
-    return once(("word_bpe_memo", path, kind), lambda: Memo(lambda w, bpe=load(path, library): f(bpe, w), most=most))
