@@ -12,13 +12,18 @@ from __future__ import annotations
 import re
 import struct
 
+import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, once, per_batch, pick, table
+from .common import Memo, as_texts, at_bounds, gathered, once, per_batch, pick, table
 
 SPACE = "▁"
+#: Characters of a run up to which runs are counted many at a time.
+SHORT = 40
 _runs = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -62,10 +67,17 @@ class PieceBpe:
         self.longest = max(map(len, self.score))
         #: neighbours within some piece; between any others a text falls into independent parts
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.by_part = Memo(self._deltas, most=500_000, longest=32)
+        self.by_part = Memo(self._deltas, most=50_000, longest=32)
+        self.names = sorted(self.score)
+        self.find = ahocorasick.Automaton()
+        for i, piece in enumerate(self.names, 1):
+            self.find.add_word(piece, len(piece) << 20 | i)
+        self.find.make_automaton()
+        #: (last piece, next piece) as one number, ascending, and whether the second may follow; new ones wait in a dict
+        self.pairs, self.valid, self.waiting = np.empty(0, np.int64), np.empty(0, bool), {}
         if any(SPACE in p.lstrip(SPACE) for p in self.score) or "\n" in self.score:
             raise ValueError("the model has pieces across spaces or lines")
-        self.follows = Memo(self._follows, most=2_000_000, longest=4)
+        self.follows = Memo(self._follows, most=200_000, longest=4)
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by plain merging: the highest score first, leftmost first."""
@@ -111,9 +123,93 @@ class PieceBpe:
                 raise AssertionError("no piece ends here")
         return np.diff(np.array(count, np.int32)).astype("<i2").tobytes()
 
-    def entry(self, word: str) -> bytes:
-        """Deltas of what follows a space; a word that begins with a new line follows none."""
-        return self.deltas(word if word[:1] == "\n" else SPACE + word)
+    def may_follow(self, keys: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+        """Whether the second piece of each pair may follow the first (number 0: the beginning)."""
+        out = np.zeros(len(keys), bool)
+        unknown = np.ones(len(keys), bool)
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            unknown = self.pairs[at] != keys
+            out = self.valid[at]
+        if unknown.any():
+            new, back = np.unique(keys[unknown], return_inverse=True)
+            told, waiting = [], self.waiting
+            for k in new.tolist():
+                if k not in waiting:
+                    a, b = k >> 20, k & (1 << 20) - 1
+                    waiting[k] = self._follows((self.names[a - 1] if a else "", self.names[b - 1]))
+                told.append(waiting[k])
+            out[unknown] = np.array(told)[back]
+            if len(waiting) > 20_000:
+                if len(self.pairs) > most:
+                    self.pairs, self.valid = self.pairs[:0], self.valid[:0]
+                pairs = np.concatenate([self.pairs, np.fromiter(waiting, np.int64, len(waiting))])
+                valid = np.concatenate([self.valid, np.fromiter(waiting.values(), bool, len(waiting))])
+                order = np.argsort(pairs)
+                self.pairs, self.valid = pairs[order], valid[order]
+                waiting.clear()
+        return out
+
+    def deltas_batch(self, runs: list[str]) -> list[bytes]:
+        """deltas() of many runs of at most SHORT characters: the same programme, a step for each end in all runs at once.
+
+        An automaton finds every piece in every run; of the pieces that end at a place the
+        longest that may follow the last piece before it is the one there.
+        """
+        line = "\n".join(runs) + "\n"
+        n = np.fromiter(map(len, runs), np.int64, len(runs))
+        begin = np.cumsum(n + 1) - n - 1
+        of = np.repeat(np.arange(len(runs)), n + 1)
+        found = np.array([at << 26 | value for at, value in self.find.iter(line)], np.int64)
+        at, length, piece = found >> 26, found >> 20 & 63, found & (1 << 20) - 1
+        lone = np.ones(len(line), bool)
+        lone[at[length == 1]] = False
+        lone[begin + n] = False
+        lone = np.nonzero(lone)[0]  # characters that are no piece count as their bytes
+        width = np.array([len(line[i].encode()) for i in lone.tolist()], np.int32)
+        lone_run, lone_end = of[lone], lone - begin[of[lone]] + 1
+        run = of[at]
+        end = at - begin[run] + 1
+        order = np.argsort(end << 40 | run << 6 | 63 - length)
+        run, end, length, piece = run[order], end[order], length[order], piece[order]
+        steps = int(n.max())
+        last, count = np.zeros((len(runs), steps + 1), np.int64), np.zeros((len(runs), steps + 1), np.int32)
+        bounds = np.searchsorted(end, np.arange(1, steps + 2))
+        reached = 0
+        for e, (i, j) in enumerate(zip(bounds, bounds[1:]), 1):
+            alone = lone_end == e
+            if alone.any():
+                count[lone_run[alone], e] = count[lone_run[alone], e - 1] + width[alone]
+                reached += int(alone.sum())
+            if i < j:
+                w, start = run[i:j], e - length[i:j]
+                ok = np.nonzero(self.may_follow(last[w, start] << 20 | piece[i:j]))[0]
+                ok = ok[np.concatenate([[True], w[ok][1:] != w[ok][:-1]])]
+                last[w[ok], e], count[w[ok], e] = piece[i:j][ok], count[w[ok], start[ok]] + 1
+                reached += len(ok)
+        if reached != int(n.sum()):
+            raise AssertionError("no piece ends somewhere")
+        inside = np.arange(1, steps + 1) <= n[:, None]
+        raw = np.diff(count, axis=1).astype("<i2")[inside].tobytes()
+        stops = (2 * np.cumsum(n)).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def entries(self, words: list[str], memo: dict[str, bytes], most: int = 400_000) -> list[bytes]:
+        """Deltas of what follows a space; a word that begins with a new line follows none. memo is kept up to `most` words."""
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > most:
+            memo.clear()
+            new = words
+        long = {}
+        new = [(w, w if w[:1] == "\n" else SPACE + w) for w in new]
+        short = [x for x in new if len(x[1]) <= SHORT]
+        for k in range(0, len(short), 16384):
+            part = short[k : k + 16384]
+            memo.update(zip([w for w, _ in part], self.deltas_batch([r for _, r in part])))
+        for w, r in new:
+            if len(r) > SHORT:
+                long[w] = self.deltas(r)
+        return [long[w] if w in long else memo[w] for w in words] if long else [memo[w] for w in words]
 
 
 def load(path: str | None) -> PieceBpe:
@@ -124,9 +220,9 @@ def load(path: str | None) -> PieceBpe:
     return once(("piece_bpe", path), lambda: PieceBpe(path))
 
 
-def _memos(path: str | None) -> tuple[PieceBpe, Memo, Memo]:
+def _memos(path: str | None) -> tuple[PieceBpe, dict, Memo]:
     bpe = load(path)
-    return bpe, *once(("piece_memo", path), lambda: (Memo(bpe.entry, most=300_000, longest=32), Memo(bpe.deltas, most=100_000, longest=32)))
+    return bpe, *once(("piece_memo", path), lambda: ({}, Memo(bpe.deltas, most=50_000, longest=32)))
 
 
 def prefix_deltas(text: str, path: str | None = None) -> bytes:
@@ -137,18 +233,55 @@ def prefix_deltas(text: str, path: str | None = None) -> bytes:
     """
     if not text:
         return b""
-    _, by_word, by_run = _memos(path)
-    text = text.replace(SPACE, " ")
-    if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text:
-        parts = _runs.findall(SPACE + text.replace(" ", SPACE))
-        raw = b"".join([by_run[r] for r in parts])
-    else:
-        raw = b"".join([by_word[w] for w in text.replace("\n", " \n").split(" ")] if text[0] != "\n" else [by_run[r] for r in _runs.findall(SPACE + text.replace(" ", SPACE))])
+    _, _, by_run = _memos(path)
+    raw = b"".join([by_run[r] for r in _runs.findall(SPACE + text.replace(SPACE, " ").replace(" ", SPACE))])
     # the leading space is no character of the text: its count belongs to the first one
     first = int.from_bytes(raw[:2], "little", signed=True) + int.from_bytes(raw[2:4], "little", signed=True)
     return first.to_bytes(2, "little", signed=True) + raw[4:]
 
 
+def _odd(texts: pa.Array) -> np.ndarray:
+    """Texts whose white space is not one space between words."""
+    found = pc.match_substring(texts, SPACE)
+    for test in (pc.match_substring(texts, "  "), pc.match_substring(texts, " \n"), pc.starts_with(texts, " "), pc.starts_with(texts, "\n"), pc.ends_with(texts, " ")):
+        found = pc.or_(found, test)
+    return pc.or_(found, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+
+
+def deltas_many(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """prefix_deltas() of many texts: (deltas, bounds), text k has deltas[bounds[k]:bounds[k + 1]].
+
+    What stands between two spaces is looked up once for all texts. A null text has none.
+    """
+    texts = as_texts(texts)
+    odd = _odd(texts)
+    apart = {int(k): np.frombuffer(prefix_deltas(texts[int(k)].as_py(), path), "<i2") for k in np.nonzero(odd)[0]}
+    plain = texts.filter(pa.array(~odd))
+    bpe, by_word, _ = _memos(path)
+    found = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+    coded = found.flatten().dictionary_encode()
+    blocks = bpe.entries(coded.dictionary.to_pylist(), by_word)
+    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks)) >> 1
+    flat, ends = gathered(np.frombuffer(b"".join(blocks), "<i2"), sizes, coded.indices.to_numpy())
+    bounds = at_bounds(ends, np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)]))
+    # the leading space is no character of the text: its count belongs to the first one
+    first = bounds[:-1]
+    flat[first + 1] += flat[first]
+    kept = np.ones(len(flat), bool)
+    kept[first] = False
+    flat, bounds = flat[kept], bounds - np.arange(len(bounds))
+    if not apart:
+        return flat, bounds
+    rows = iter(zip(bounds.tolist(), bounds[1:].tolist()))
+    parts = [apart[k] if k in apart else flat[slice(*next(rows))] for k in range(len(texts))]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def totals(deltas: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Tokens of each whole text."""
+    return np.diff(np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])[bounds])
+
+
 def count_at(deltas: bytes, characters: int | None = None) -> int:
     """Tokens of the first `characters` characters (None: of all)."""
     return int(np.frombuffer(deltas, "<i2")[:characters].sum(dtype=np.int64))
@@ -170,10 +303,10 @@ def prefix_table(docs: DataFrame, model: str | None = None, budget: int | None =
 
     def make():
         def run(batch):
-            texts = [t or "" for t in batch[1].to_pylist()]
-            deltas = [prefix_deltas(t, model) for t in texts]
+            flat, bounds = deltas_many(batch[1], model)
+            deltas = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             return {
-                "doc_id": batch[0], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count_at(d) for d in deltas],
+                "doc_id": batch[0], "n_bytes": pc.fill_null(pc.binary_length(batch[1]), 0).cast(pa.int64()), "n_tokens": totals(flat, bounds),
                 "prefix_deltas": deltas, "within_budget": [None if budget is None else longest_within(d, budget) for d in deltas],
             }
 
@@ -190,8 +323,7 @@ def counts(docs: DataFrame, limit: int = 4096, model: str | None = None) -> Data
 
     def make():
         def run(batch):
-            texts = [t or "" for t in batch[1].to_pylist()]
-            return {"doc_id": batch[0], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count_at(prefix_deltas(t, model)) for t in texts]}
+            return {"doc_id": batch[0], "n_bytes": pc.fill_null(pc.binary_length(batch[1]), 0).cast(pa.int64()), "n_tokens": totals(*deltas_many(batch[1], model))}
 
         return run
 
@@ -200,4 +332,5 @@ def counts(docs: DataFrame, limit: int = 4096, model: str | None = None) -> Data
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """counts() of the whole table documents with the file piece_bpe_32k.model and the limit 4096."""
     return counts(table(spark, sf_dir, "documents"))
