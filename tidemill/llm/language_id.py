@@ -14,16 +14,19 @@ import uuid
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, crc32_of, once, per_batch, pick, stored, table
+from .common import Runs, as_texts, bounded_sample, claim, crc32_of, once, per_batch, pick, slices, stored, table
 from .token_counts import SPACE, load
 
 UNKNOWN = "und"
-#: Characters of a word up to which passes run together; runs kept at most.
-SHORT, KEPT = 40, 400_000
+#: Letters of a word up to which passes run together and need no rescaling; words kept at most.
+SHORT, KEPT = 32, 400_000
+#: Over the characters of the longest piece.
+REACH = 64
 _word = re.compile(r"[^\W\d_]+")
+_word_or_end = re.compile(r"[^\W\d_]+|\n")
 
 
 def _vocabulary(path: str | None) -> tuple[dict[str, int], dict[str, int]]:
@@ -70,12 +73,35 @@ def log_likelihood(word: str, starts: dict[str, int], columns: list[list[float]]
                 if alpha[at] < 1e-100:
                     low = alpha[at] or 1e-300
                     log += math.log(low)
-                    alpha[at:] = [x / low for x in alpha[at : at + 40]] + alpha[at + 40 :]
+                    alpha[at : at + REACH] = [x / low for x in alpha[at : at + REACH]]  # no piece reaches further
             alpha[end] += alpha[start] * p[i]
         out.append(math.log(alpha[n] or 1e-300) + log)
     return out
 
 
+def _expected(word: str, starts: dict[str, int], row: list[float], times: float, used: np.ndarray) -> None:
+    """Adds each piece's expected uses in one word of any length: forward and backward sums with a scale for each place."""
+    arcs, n = lattice(word, starts), len(word) + 1
+    by_end: dict[int, list] = {}
+    for start, end, i in arcs:
+        by_end.setdefault(end, []).append((start, i))
+    # place e holds alpha times the product of all scales up to e, so no product of many small numbers is made
+    alpha, log = [1.0] + [0.0] * n, [0.0] * (n + 1)
+    for e in range(1, n + 1):
+        parts = [alpha[s] * row[i] * math.exp(log[s] - log[e - 1]) for s, i in by_end.get(e, ())]
+        total = sum(parts)
+        if not total:
+            return
+        alpha[e], log[e] = 1.0, log[e - 1] + math.log(total)
+    beta = [0.0] * n + [1.0]  # share of all segmentations' weight that passes each place
+    for e in range(n, 0, -1):
+        if beta[e]:
+            for s, i in by_end[e]:
+                share = beta[e] * row[i] * math.exp(log[s] - log[e])
+                beta[s] += share
+                used[i] += times * share
+
+
 def learn(counts: dict[str, dict[str, int]], tokenizer: str | None = None, rounds: int = 3, prior: float = 0.05) -> dict:
     """{"langs": [...], "p": (languages, pieces + 1)} from {lang: {word: count}}; the last column is a character without a piece."""
     pieces, starts = _vocabulary(tokenizer)
@@ -83,72 +109,52 @@ def learn(counts: dict[str, dict[str, int]], tokenizer: str | None = None, round
     size = len(pieces) + 1
     p = np.full((len(langs), size), 1.0 / size)
     p[:, -1] = 1e-6
-    arcs = {w: lattice(w, starts) for c in counts.values() for w in c if len(w) <= 40}
-    for _ in range(rounds):
-        for k, lang in enumerate(langs):
-            row, used = p[k].tolist(), [prior] * size
-            for word, times in counts[lang].items():
-                if word not in arcs:
-                    continue
-                n, found = len(word) + 1, arcs[word]
-                alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                for start, end, i in found:
-                    alpha[end] += alpha[start] * row[i]
-                if not alpha[n]:
-                    continue
-                for start, end, i in reversed(found):
-                    beta[start] += beta[end] * row[i]
-                for start, end, i in found:
-                    used[i] += times * alpha[start] * row[i] * beta[end] / alpha[n]
-            p[k] = np.array(used) / sum(used)
+    arcs = Arcs(pieces)
+    for k, lang in enumerate(langs):
+        words = sorted(counts[lang])
+        short = [w for w in words if len(w) <= SHORT]
+        parts = [(arcs(some), np.array([counts[lang][w] for w in some], float)) for some in (short[i : i + 8192] for i in range(0, len(short), 8192))]
+        for _ in range(rounds):
+            used = np.full(size, prior)
+            for found, times in parts:
+                used += found.expected(p[k], times)
+            row = p[k].tolist()
+            for w in words:
+                if len(w) > SHORT:
+                    _expected(w, starts, row, counts[lang][w], used)
+            p[k] = used / used.sum()
     return {"langs": langs, "p": p, "tokenizer": tokenizer}
 
 
-def train(docs: DataFrame, most_docs: int = 500, most_words: int = 4000, tokenizer: str | None = None) -> dict:
+def train(docs: DataFrame, most_docs: int = 200, tokenizer: str | None = None) -> dict:
     """Learns from text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    The sample takes up to most_docs documents a language, by smallest xxhash64 of their id,
-    and of their words the most_words most frequent of each language: bounds on what the driver
-    gets that hold at every size. Null ids, texts and languages are left out. Without rows the
-    model knows no language.
+    The sample takes up to most_docs documents a language, by smallest xxhash64 of their id, and
+    all words of their whole texts: a bound that holds at every size. Null ids, texts and
+    languages are left out; an id that repeats counts once for each of its rows. Without rows
+    the model knows no language.
     """
     known = pick(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(crc32_of(F.col("doc_id")) % 3 != 1)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(by)).where(F.col("at") <= most_docs).drop("at")
+    ids = stored(bounded_sample(known.select("doc_id", "lang").distinct(), "lang", "doc_id", most_docs))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
-    counts = known.join(ids.hint("broadcast") if most_docs <= 10_000 else ids, ["doc_id", "lang"]).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("at", F.row_number().over(top)).where(F.col("at") <= most_words).select("lang", "word", "n").collect()
+    counts = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     by_lang: dict[str, dict[str, int]] = {}
-    for r in rows:
+    for r in counts.collect():  # words of at most most_docs documents a language
         by_lang.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return learn(by_lang, tokenizer)
 
 
-class Forward:
-    """Forward passes of many words at once, over arcs that an Aho-Corasick automaton of the pieces finds."""
+class Arcs:
+    """Pieces in words, found by an Aho-Corasick automaton of all pieces."""
 
-    def __init__(self, pieces: dict[str, int], starts: dict[str, int], p: np.ndarray):
-        self.starts, self.columns = starts, [row.tolist() for row in p]
-        self.p = np.ascontiguousarray(p.T)
+    def __init__(self, pieces: dict[str, int]):
+        self.none = len(pieces)
         self.find = ahocorasick.Automaton()
         for piece, i in pieces.items():
             self.find.add_word(piece, len(piece) << 20 | i)
         self.find.make_automaton()
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """(words, languages) of log likelihoods."""
-        out = np.empty((len(words), self.p.shape[1]))
-        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
-        for k in range(0, len(short), 8192):
-            part = short[k : k + 8192]
-            out[part] = self._batch([words[i] for i in part])
-        for k, w in enumerate(words):
-            if len(w) > SHORT:
-                out[k] = log_likelihood(w, self.starts, self.columns)
-        return out
-
-    def _batch(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str]) -> Lattice:
         line = "\n".join([SPACE + w for w in words]) + "\n"
         n = np.array([len(w) + 1 for w in words])
         begin = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
@@ -161,20 +167,68 @@ class Forward:
         lone[at[length == 1]] = False
         lone[begin + n] = False
         lone = np.nonzero(lone)[0]
-        at, length, piece = np.concatenate([at, lone]), np.concatenate([length, np.ones_like(lone)]), np.concatenate([piece, np.full_like(lone, len(self.p) - 1)])
+        at, length, piece = np.concatenate([at, lone]), np.concatenate([length, np.ones_like(lone)]), np.concatenate([piece, np.full_like(lone, self.none)])
         word = word_at[at]
         end = at - begin[word] + 1
-        order = np.lexsort((word, end))
-        word, end, length, piece = word[order], end[order], length[order], piece[order]
-        alpha = np.zeros((len(words), int(n.max()) + 1, self.p.shape[1]))
+        order = np.argsort(end << 40 | word)
+        return Lattice(n, word[order], end[order], length[order], piece[order])
+
+
+class Lattice:
+    """Arcs of many words, by end and word; a word with its mark has n characters."""
+
+    def __init__(self, n: np.ndarray, word: np.ndarray, end: np.ndarray, length: np.ndarray, piece: np.ndarray):
+        self.n, self.word, self.end, self.length, self.piece = n, word, end, length, piece
+        self.bounds = np.searchsorted(end, np.arange(1, int(n.max()) + 2))
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """(words, places, languages) of forward sums, for piece probabilities p of shape (pieces, languages)."""
+        word, length = self.word, self.length
+        alpha = np.zeros((len(self.n), int(self.n.max()) + 1, p.shape[1]))
         alpha[:, 0] = 1
-        bounds = np.searchsorted(end, np.arange(1, int(n.max()) + 2))
-        for e, (i, j) in enumerate(zip(bounds, bounds[1:]), 1):
+        for e, (i, j) in enumerate(zip(self.bounds, self.bounds[1:]), 1):
             if i < j:
                 w = word[i:j]
                 first = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
-                alpha[w[first], e] = np.add.reduceat(alpha[w, e - length[i:j]] * self.p[piece[i:j]], first, axis=0)
-        return np.log(np.maximum(alpha[np.arange(len(words)), n], 1e-300))
+                alpha[w[first], e] = np.add.reduceat(alpha[w, e - length[i:j]] * p[self.piece[i:j]], first, axis=0)
+        return alpha
+
+    def expected(self, row: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, words counted `times` each."""
+        alpha = self.forward(row[:, None])[:, :, 0]
+        total = alpha[np.arange(len(self.n)), self.n]
+        beta = np.zeros_like(alpha)
+        beta[np.arange(len(self.n)), self.n] = np.divide(times, total, out=np.zeros_like(times), where=total > 0)
+        used = np.zeros(len(row))
+        for e in range(len(self.bounds) - 1, 0, -1):
+            i, j = self.bounds[e - 1], self.bounds[e]
+            w, start, piece = self.word[i:j], e - self.length[i:j], self.piece[i:j]
+            weight = row[piece] * beta[w, e]
+            np.add.at(beta, (w, start), weight)
+            used += np.bincount(piece, alpha[w, start] * weight, len(row))
+        return used
+
+
+class Forward:
+    """Forward passes of many words at once."""
+
+    def __init__(self, pieces: dict[str, int], starts: dict[str, int], p: np.ndarray):
+        self.starts, self.columns = starts, [row.tolist() for row in p]
+        self.p = np.ascontiguousarray(p.T)
+        self.arcs = Arcs(pieces)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """(words, languages) of log likelihoods."""
+        out = np.empty((len(words), self.p.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        for k in range(0, len(short), 8192):
+            part = short[k : k + 8192]
+            found = self.arcs([words[i] for i in part])
+            out[part] = np.log(np.maximum(found.forward(self.p)[np.arange(len(part)), found.n], 1e-300))
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = log_likelihood(w, self.starts, self.columns)
+        return out
 
 
 class Scorer:
@@ -187,72 +241,59 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.runs: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.of_run, self.of_word = np.empty((KEPT, len(self.langs))), np.empty((KEPT, len(self.langs)))
-
-    def _learn(self, runs: list[str]) -> None:
-        """Adds runs between white space: sums over their words; without a letter: not a number."""
-        found = [_word.findall(r.lower()) for r in runs]
-        new = list({w for words in found for w in words if w not in self.words})
+        self.of_word = np.empty((KEPT, len(self.langs)))
+
+    def _of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each run the sums over its words, and how many words it has."""
+        found = _word_or_end.findall("\n".join(runs).lower() + "\n")
+        new = list({w for w in found if w not in self.words and w != "\n"})
+        if len(self.words) + len(new) > KEPT:
+            self._clear()
+            new = list(set(found) - {"\n"})
+        n = len(self.words)
+        if n + len(new) > len(self.of_word):  # a text with very many different words
+            self.of_word = np.vstack([self.of_word[:n], np.empty((len(new), len(self.langs)))])
+        self.words.update(zip(new, range(n, n + len(new))))
         if new:
-            n = len(self.words)
-            if n + len(new) > len(self.of_word):
-                self.of_word = np.vstack([self.of_word, np.empty((max(KEPT, len(new)), len(self.langs)))])
-            self.words.update(zip(new, range(n, n + len(new))))
             self.of_word[n : n + len(new)] = self.forward(new)
-        count = np.array([len(w) for w in found])
-        at = np.array([self.words[w] for words in found for w in words], np.int64)
-        sums = np.full((len(runs), len(self.langs)), np.nan)
-        told = count > 0
-        if len(at):
-            first = np.concatenate([[0], np.cumsum(count[told])[:-1]])
-            sums[told] = np.add.reduceat(self.of_word[at], first, axis=0)
-        n = len(self.runs)
-        self.runs.update(zip(runs, range(n, n + len(runs))))
-        self.of_run[n : n + len(runs)] = sums
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = self.words
+        words["\n"] = -1
+        at = np.fromiter((words[w] for w in found), np.int64, len(found))
+        del words["\n"]
+        ends = np.nonzero(at < 0)[0]
+        ends -= np.arange(len(ends))
+        return _sums(self.of_word, at[at >= 0], np.concatenate([[0], ends])), np.diff(ends, prepend=0)
+
+    def __call__(self, texts) -> list[tuple[str, float]]:
+        """Of an array of texts: language and its posterior under equal priors; ties go to the language that comes first."""
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        out: list[tuple[str, float]] = []
-        for k in range(0, len(texts), 128):
-            parts = [(t or "").split() for t in texts[k : k + 128]]
-            if len(self.runs) > KEPT // 2:
-                self._clear()
-            seen: set[str] = set().union(*parts)
-            new = [r for r in seen if r not in self.runs]
-            for i in range(0, len(new), KEPT // 4):  # a text with very many different runs comes in several steps
-                if len(self.runs) + KEPT // 4 > KEPT:
-                    break
-                self._learn(new[i : i + KEPT // 4])
-            out += [self._of(runs) for runs in parts]
-        return out
-
-    def _of(self, runs: list[str]) -> tuple[str, float]:
-        total, letters = np.zeros(len(self.langs)), False
-        for i in range(0, len(runs), KEPT // 4):
-            some = runs[i : i + KEPT // 4]
-            missing = [r for r in set(some) if r not in self.runs]
-            if missing:
-                if len(self.runs) + len(missing) > KEPT:
-                    self._clear()
-                    missing = list(set(some))
-                self._learn(missing)
-            sums = self.of_run[[self.runs[r] for r in some]]
-            told = ~np.isnan(sums[:, 0])
-            letters |= bool(told.any())
-            total += sums[told].sum(axis=0)
-        if not letters:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        runs = Runs(as_texts(texts))
+        sums, words = self._of_runs(runs.unique.to_pylist()) if len(runs.unique) else (np.zeros((0, len(self.langs))), np.zeros(0, np.int64))
+        total = _sums(sums, runs.codes, runs.bounds)
+        told = _sums(words[:, None].astype(float), runs.codes, runs.bounds)[:, 0] > 0
+        best = np.argmax(total, axis=1)
+        score = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(axis=1)
+        return [(self.langs[b], s) if t else (UNKNOWN, 0.0) for b, s, t in zip(best.tolist(), score.tolist(), told.tolist())]
+
+
+def _sums(values: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values[at[a:b]] between neighbouring bounds, column by column; none: zero."""
+    out = np.zeros((len(bounds) - 1, values.shape[1]))
+    some = np.nonzero(np.diff(bounds) > 0)[0]
+    if len(some):
+        for k in range(values.shape[1]):
+            out[some, k] = np.add.reduceat(values[:, k][at[: bounds[-1]]], bounds[some])
+    return out
 
 
 def predictions(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its posterior under equal priors.
 
-    `und` with score 0 where the text is null or has no letter, or no language was learned.
+    `und` with score 0 where the text is null or has no letter, or no language was learned. A very
+    long text is scored whole, alone; null ids and repeated rows keep their rows; an empty table
+    gives none; other columns are left out.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -260,7 +301,7 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
         scorer = once(("lang_scorer", key), lambda: Scorer(shared.value))
 
         def run(batch):
-            found = scorer(batch[1].to_pylist())
+            found = scorer(batch[1])
             return {"doc_id": batch[0], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
         return run
@@ -269,7 +310,10 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_told(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """Rows of docs, all columns, whose language is told with at least this posterior; `und` goes."""
+    """Rows of docs, all columns, whose language is told with at least this posterior; `und` goes.
+
+    Repeated rows and rows with null ids stay if their text does; an empty table gives no rows.
+    """
     import pyarrow as pa
 
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -279,15 +323,15 @@ def keep_told(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
         claim(__name__)
         scorer = once(("lang_scorer", key), lambda: Scorer(shared.value))
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                told = scorer(part[at].to_pylist())
+            for part in slices(batch):
+                told = scorer(part[at])
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in told], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """predictions() for the whole table documents by a model learned from its rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc32_of(F.col("doc_id")) % 3 == 1, F.lit(False))
     return predictions(docs, train(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
