@@ -1,9 +1,10 @@
 """Operator 3: toxicity by a counterfactually regularised classifier.
 
 A logistic model over which words and word beginnings a text has. Training pairs each labelled text that has
-identity terms with a counterfactual in which they are swapped for others of their group, and
-penalises the squared change of the logit between the two (Garg et al., 2019). Identity words
-that merely go along with toxic labels so lose their weight.
+identity terms with a counterfactual in which they are swapped for others of their group, all
+features of the swapped text computed anew (words and beginnings alike), and penalises the
+squared change of the logit between the two (Garg et al., 2019). Identity words that merely go
+along with toxic labels so lose their weight, and so do their beginnings.
 
 Words are chosen by chi-square on the training rows, and a lasso step sets the weights of
 words that tell nothing to zero, so a long text doesn't gather a score from many small ones.
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, crc32_of, per_batch, pick, stored, table
+from .common import Runs, as_texts, bounded_sample, claim, crc32_of, gathered, per_batch, pick, slices, stored, table
 
 #: Groups of terms that name people; a term is swapped for the next of its group.
 IDENTITY = (
@@ -28,7 +29,7 @@ IDENTITY = (
 )
 THRESHOLD = 0.3
 STEMS = range(4, 9)
-_word = re.compile(r"[^\W\d_]+")
+_word_or_end = re.compile(r"[^\W\d_]+|\n")
 
 
 def swaps() -> dict[str, str]:
@@ -75,99 +76,128 @@ def fit(x: np.ndarray, y: np.ndarray, x_swapped: np.ndarray, share: float | None
     return w[:d], float(w[d])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words: int = 1024) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_terms: int = 1024, least_chi: float = 15.0, penalty: float = 5.0) -> dict:
     """{"weights": {word: weight}, "bias": b} from rows whose crc32(doc_id as text) mod 4 is not 2.
 
     The sample takes up to most_rows labelled documents of each class, by smallest xxhash64 of
-    their id; most_words words and beginnings are kept by chi-square. Both bounds hold at every size, and the
-    driver gets at most 2 * most_rows rows of at most most_words + identity terms numbers. Null
-    labels, ids and texts are left out; an id with several labels counts as toxic if any says so.
-    Without both classes the model says 0.5 * (1 + share of toxic) for empty weights.
+    their id (ties: smaller id), and reads their whole texts. All their words and beginnings are
+    weighed by chi-square; those below least_chi tell too little to be told from chance, and of
+    the others the model uses the most_terms highest (ties: first by name) beside all features of
+    the identity terms. These bounds hold at every size; the driver gets at most 2 * most_rows
+    rows of so many numbers. Null labels, ids and texts are left out; an id with several labels
+    counts as toxic if any says so. Without both classes the model has no weights and says
+    toxic (bias 2) or clean (bias -2) throughout; so does it without any labels (clean).
     """
-    from pyspark.sql import Window
-
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(crc32_of(F.col("doc_id")) % 4 != 2).withColumn("toxic", (F.col("toxic") == 1).cast("int"))
-    by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = stored(known)
+    known = stored(known.where(crc32_of(F.col("doc_id")) % 4 != 2).withColumn("toxic", (F.col("toxic") == 1).cast("int")))
     all_of = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = known.withColumn("at", F.row_number().over(by)).where(F.col("at") <= most_rows).drop("at")  # at most 2 * most_rows ids
+    sample = stored(bounded_sample(known, "toxic", "doc_id", most_rows))  # at most 2 * most_rows ids
     texts = pick(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    found = texts.select("doc_id", "toxic", F.explode(words).alias("whole"))
-    parts = F.filter(F.array(F.col("whole"), *[F.when(F.length("whole") > n, F.concat(F.substring("whole", 1, n), F.lit("-"))) for n in STEMS]), lambda w: w.isNotNull())
-    words = stored(found.select("doc_id", "toxic", F.explode(parts).alias("word")).distinct())
-    sizes = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    swap = swaps()
+    other = F.create_map(*[F.lit(x) for pair in swap.items() for x in pair])
+    found = texts.select("doc_id", "toxic", F.explode(words).alias("whole")).withColumn("other", F.coalesce(other[F.col("whole")], "whole"))
+
+    def parts(word: str, kind):
+        """Features of a word, marked 1 (of the text), 2 (of the swapped text) or 3 (of both)."""
+        beginnings = [F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("-"))) for n in STEMS]
+        every = F.filter(F.array(F.col(word), *beginnings), lambda w: w.isNotNull())
+        return F.transform(every, lambda w: F.struct(w.alias("word"), kind.alias("kind")))
+
+    moved = F.col("other") != F.col("whole")
+    both = F.when(moved, F.concat(parts("whole", F.lit(1)), parts("other", F.lit(2)))).otherwise(parts("whole", F.lit(3)))
+    words = stored(found.select("doc_id", "toxic", F.explode(both).alias("part")).groupBy("doc_id", "toxic", "part.word").agg(F.bit_or("part.kind").alias("kind")))
+    own = words.where("kind & 1 = 1")
+    sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return {"weights": {}, "bias": 2.0 if pos else -2.0}
-    hits = words.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    hits = own.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), float(pos + neg)
     chi = n * F.pow(a * neg - b * pos, F.lit(2)) / ((a + b) * (n - a - b + 1) * pos * neg)
-    chosen = hits.where("a + b >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "word").limit(most_words)
-    swap = swaps()
-    names = sorted({r["word"] for r in chosen.select("word").collect()} | set(swap))
+    chosen = hits.where("a + b >= 3").withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "word").limit(most_terms)
+    names = sorted({r["word"] for r in chosen.select("word").collect()} | {f for w in swap for f in features(w)})
     index = {w: i for i, w in enumerate(names)}
     terms = docs.sparkSession.createDataFrame(list(index.items()), "word string, i int")
-    rows = words.join(F.broadcast(terms), "word").groupBy("doc_id", "toxic").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    at = lambda bit: F.collect_list(F.when(F.col("kind").bitwiseAND(bit) > 0, F.col("i")))
+    rows = words.join(F.broadcast(terms), "word").groupBy("doc_id", "toxic").agg(at(1).alias("at"), at(2).alias("swapped"))
     x, y = np.zeros((pos + neg, len(names)), np.float64), np.zeros(pos + neg)
+    swapped = np.zeros_like(x)
     y[:pos] = 1
-    at = {1: 0, 0: pos}
+    row = {1: 0, 0: pos}
     for r in rows.orderBy("doc_id").collect():
-        x[at[r["toxic"]], r["at"]] = 1
-        at[r["toxic"]] += 1
-    swapped = x.copy()
-    terms_at = [(index[a], index[b]) for a, b in swap.items()]
-    swapped[:, [i for i, _ in terms_at]] = 0
-    for i, j in terms_at:
-        swapped[:, j] = np.maximum(swapped[:, j], x[:, i])
-    w, bias = fit(x, y, swapped, all_of[1] / (all_of[0] + all_of[1]))
+        k = row[r["toxic"]]
+        x[k, r["at"]] = swapped[k, r["swapped"]] = 1
+        row[r["toxic"]] += 1
+    w, bias = fit(x, y, swapped, all_of[1] / (all_of[0] + all_of[1]), penalty)
     return {"weights": {t: float(v) for t, v in zip(names, w) if v}, "bias": bias}
 
 
-def _scorer(model: dict):
-    weights, bias = model["weights"], model["bias"]
-    memo = Memo(lambda t: tuple({f for w in _word.findall(t.lower()) for f in features(w) if f in weights}), most=150_000)
-
-    def score(text: str | None) -> float:
-        found = {w for t in set(text.split()) for w in memo[t]} if text else ()
-        return float(1 / (1 + np.exp(-np.clip(bias + sum(weights[w] for w in sorted(found)), -30, 30))))
-
-    return score
+class _Scorer:
+    """Scores of whole texts; a feature counts once in a text."""
+
+    def __init__(self, model: dict):
+        names = sorted(model["weights"])
+        self.index = {f: i for i, f in enumerate(names)}
+        self.weights, self.bias = np.array([model["weights"][f] for f in names], float), model["bias"]
+        self.heads = {f.removesuffix("-")[:4] for f in names}  # of words that may have a feature
+
+    def __call__(self, texts) -> np.ndarray:
+        runs = Runs(as_texts(texts))
+        total = np.full(len(texts), float(self.bias))
+        if self.index and len(runs.unique):
+            found, sizes, k = [], np.zeros(len(runs.unique), np.int64), 0
+            for w in _word_or_end.findall("\n".join(runs.unique.to_pylist()).lower() + "\n"):
+                if w == "\n":
+                    k += 1
+                elif w[:4] in self.heads:
+                    for f in features(w):
+                        if f in self.index:
+                            found.append(self.index[f])
+                            sizes[k] += 1
+            each, ends = gathered(np.array(found, np.int64), sizes, runs.codes)
+            text = np.searchsorted(np.concatenate([[0], ends])[runs.bounds], np.arange(len(each)), side="right") - 1
+            once = np.unique(text * len(self.weights) + each)
+            total += np.bincount(once // len(self.weights), self.weights[once % len(self.weights)], len(total))
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score): whole texts; a null or empty text has the score of no words; nulls and repeats keep their rows."""
+    """(doc_id, score): whole texts, however long.
+
+    A null or empty text has the score of no words; null ids and repeated rows keep their rows;
+    an empty table gives no rows; other columns are left out.
+    """
 
     def make():
-        score = _scorer(model)
-        return lambda batch: {"doc_id": batch[0], "score": [score(t) for t in batch[1].to_pylist()]}
+        score = _Scorer(model)
+        return lambda batch: {"doc_id": batch[0], "score": score(batch[1])}
 
     return per_batch(pick(docs, "doc_id", "text"), "doc_id long, score double", make)
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns, whose score is below the threshold."""
+    """Rows of docs, all columns, whose score is below the threshold; nulls, repeats and empty tables as in scores()."""
     at = docs.columns.index("text")
 
     def run(batches):
         claim(__name__)
-        score = _scorer(model)
+        score = _Scorer(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                yield part.filter(np_mask([score(t) < threshold for t in part[at].to_pylist()]))
+            for part in slices(batch):
+                yield part.filter(np_mask(score(part[at]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def np_mask(values: list[bool]):
+def np_mask(values: np.ndarray):
     import pyarrow as pa
 
     return pa.array(values, pa.bool_())
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """scores() of the whole table documents by a model learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     found = scores(docs, train(docs, table(spark, sf_dir, "labels")))
     held = crc32_of(F.col("doc_id")) % 4 == 2
