@@ -15,7 +15,6 @@ entry's main component are compared with the others, so no link between componen
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, per_batch, shared_dir, stored, table, text_bytes
+from .common import bit_distance, narrowed, per_batch, pick, shared_dir, stored, table, text_bytes
 from .components import components, hot_join
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -105,11 +104,6 @@ def _entries(codes: DataFrame, segments: list[tuple[int, int, int]], ball: bool)
     return rows.where("value & mask = 0").select(key.alias("key"), "node", "sketch", (F.col("mask") == 0).alias("own"))
 
 
-def _whole(x, y, words: int):
-    """Differing bits of two codes; written out, so that it is compiled."""
-    return reduce(lambda a, b: a + b, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)])
-
-
 def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int, most: int, most_first: int | None = None, hot: int = 64, stand: int = 3) -> DataFrame:
     """(a, b): links whose components are those of all pairs of candidates within `most` differing bits.
 
@@ -124,7 +118,7 @@ def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int
         if words == 1:  # the first word is the whole code
             return pairs
         x, y = codes.select(F.col("node").alias("a"), F.col("code").alias("x")), codes.select(F.col("node").alias("b"), F.col("code").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_whole(F.col("x"), F.col("y"), words) <= most).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(bit_distance(F.col("x"), F.col("y"), words) <= most).select("a", "b")
 
     own = _entries(codes, segments, ball=False)
     # one row more than `hot` tells a hot entry; limits per key apply before the shuffle
@@ -158,7 +152,7 @@ def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int
         rows = rows.withColumn("code", F.array("sketch"))
     side = lambda df, p: df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "sketch", "label", "out", "code")])
     x, y = side(rows, "x"), side(rows.where("own"), "y")
-    apart = (F.col("x_label") != F.col("y_label")) & (_distance("x_sketch", "y_sketch") <= most_first) & (_whole(F.col("x_code"), F.col("y_code"), words) <= most)
+    apart = (F.col("x_label") != F.col("y_label")) & (_distance("x_sketch", "y_sketch") <= most_first) & (bit_distance(F.col("x_code"), F.col("y_code"), words) <= most)
     on = lambda a, b: a.hint("merge").join(b, (a["key"] == b["key"]) & apart).select("x_node", "y_node")
     rest = on(x.where("x_out"), y).unionByName(on(x.where("not x_out"), y.where("y_out")))
     return links.unionByName(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
@@ -188,31 +182,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 64) -> DataFra
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, hot: int = 16) -> DataFrame:
+def near_copies(nodes: DataFrame, hot: int = 64) -> DataFrame:
+    """(a, b): nodes (node, code) to compare, whose fingerprints (code) are in one component of links of 3 or fewer bits.
+
+    Nodes of equal fingerprint are paired with the smallest of them.
+    """
+    groups = stored(nodes.groupBy("code").agg(F.min("node").alias("least")))
+    found = mih_links(groups.select(F.col("code").alias("node"), F.array("code").alias("code")), [(0, 0, 32), (0, 32, 32)], 1, 3, hot=hot)
+    at = lambda end: groups.select(F.col("code").alias(end), F.col("least").alias(f"of_{end}"))
+    pairs = found.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    equal = nodes.join(groups, "code").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Rows of docs, all columns: of each group of near-duplicates that with the smallest doc_id.
 
     Texts of equal word sequence (A-Z as a-z) are duplicates; others are near-duplicates where
     their five-word shingle sets have a similarity (Jaccard) of 0.8 or more, and groups are the
-    components of these links. Null doc_ids come last; of repeated rows one stays; empty texts
-    are duplicates of each other.
+    components of these links. Fingerprints over the shingles and multi-index hashing find close
+    copies; the prefix index of shingle_join finds whatever pairs they miss; each link is
+    verified by whole sets. Null doc_ids come last; of rows of equal doc_id and text one stays;
+    empty texts are duplicates of each other; an empty table gives no rows; a very long text is
+    compared whole. Rows are told apart by a 64-bit hash of doc_id and text, so a repeated task
+    or another split of the input changes nothing.
     """
     from . import shingle_join
 
-    marked = docs.withColumn("tidemill_rid", F.monotonically_increasing_id())
-    plain = pick(marked, "tidemill_rid", "doc_id", "text")
-    rows = stored(shingle_join.prefixes(plain, shingle, shingle_join.common_shingles(plain.select("text"), shingle)))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    marked = plain.withColumn("rid", F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text))
+    texts = marked.select("rid", doc_id.alias("doc_id"), text.alias("text"))
+    rows = stored(shingle_join.prefixes(texts, shingle, shingle_join.common_shingles(texts.select("text"), shingle)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first.alias("first")))
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        rids = wanted.join(nodes.select("node", F.col("first.rid").alias("tidemill_rid")), "node")
-        return shingle_join.sets_of(plain.join(rids, "tidemill_rid").select("node", "text"), shingle)
-
-    found = components(shingle_join.links(nodes.select("node", "n", "prefix"), sets, hot))
-    groups = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    kept = groups.select(F.col("first.rid").alias("tidemill_rid"))
-    return marked.join(kept, "tidemill_rid", "left_semi").drop("tidemill_rid")
+    firsts = stored(rows.groupBy("node").agg(first.alias("first")))
+    # one row for each word sequence; of repeated rows any
+    copies = rows.select("rid").distinct().join(firsts.select("first.rid"), "rid", "left_anti")
+    nodes = narrowed(rows, stored(copies), "rid", anti=True, otherwise=firsts.select("first.rid"))
+    if rows.select("rid").distinct().count() < rows.count():
+        nodes = stored(nodes.dropDuplicates(["node"]))
+    pairs = shingle_join.Pairs(nodes.select("node", "n", "bits", "rid"), texts.select("rid", "text"), shingle)
+    known = pairs.verified(near_copies(nodes.select("node", "code")))
+    found = components(shingle_join.links(nodes.select("node", "n", "prefix"), pairs, known))
+    groups = firsts.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    kept = groups.select(F.col("first.rid").alias("rid"))
+    counts = stored(rows.groupBy("rid").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "rid", "left"))
+    left = narrowed(marked, counts.where("kept is null").select("rid"), "rid", anti=True, otherwise=counts.where("kept").select("rid"))
+    repeated = counts.where("kept and n > 1").select("rid")
+    if not repeated.isEmpty():
+        left = narrowed(left, repeated, "rid", anti=True).unionByName(narrowed(left, repeated, "rid").dropDuplicates(["rid"]))
+    return left.drop("rid").toDF(*names)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole table documents: three-word shingles, links at 3 or fewer bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
