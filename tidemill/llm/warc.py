@@ -27,6 +27,8 @@ from .common import per_batch, pick, shared_dir, stored, table
 
 URN = "urn:tidemill:page:"
 BLOCK_LINES = 1024
+#: Records read by a task on average; bytes of an archive read by one task.
+READS, SPAN = 8192, 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -325,10 +327,13 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, shards: int | None = None
         return spark.createDataFrame([], FIELDS)
     wanted = captures.select("key", F.coalesce("page_id", F.lit(-1)).alias("page")).distinct()
     places = lookup(wanted, index, folder)
-    return read_records(places.repartition("archive").sortWithinPartitions("archive", "offset"), folder)
+    # a fixed number of tasks: the pointers are small, but what they read is not
+    tasks = max(1, -(-captures.count() // READS))
+    return read_records(places.repartition(tasks, "archive", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("archive", "offset"), folder)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """round_trip() of the whole table pages."""
     return round_trip(table(spark, sf_dir, "pages"))
 
 
