@@ -19,18 +19,21 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, count: str
     return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key)).drop(count)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, few: int = 100_000) -> DataFrame:
     """(node, component) of undirected edges (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node links its
     larger neighbours, then its smaller ones, to the smallest it knows. Minima are aggregated
     before they are shuffled, and a hub's links are joined where they are. Each round ends in a
-    checkpoint in the shared folder. Null ends are left out; nodes without a link to another
-    node have no row.
+    checkpoint in the shared folder. Up to `few` edges are one partition, whose rounds need no
+    shuffle. Null ends are left out; nodes without a link to another node have no row.
     """
     shared_dir(edges.sparkSession)  # sets the checkpoint folder where there is none
     links = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    last = None
+    last, most = None, links.count()
+    if most <= few:
+        links = links.coalesce(1)
+    joined = (lambda x, y, n: x.join(y.drop("n"), "u")) if most <= few else (lambda x, y, n: hot_join(x, y, "u", n))
     for _ in range(rounds):
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
@@ -38,10 +41,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         last = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if most <= few:
+            both = both.coalesce(1)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both.where("v > u"), low, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        large = joined(both.where("v > u"), low, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low, now[0])
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         links = small.select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct().checkpoint()
     raise RuntimeError("components did not settle")

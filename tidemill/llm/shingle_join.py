@@ -165,28 +165,21 @@ class Pairs:
         return stored(y.hint("merge").join(x, "a").where(alike).select("a", "b"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't known to be in one component."""
-    at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    found = pairs.distinct().join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return found.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+def groups(nodes: DataFrame, pairs: Pairs, known: DataFrame) -> DataFrame:
+    """(node, component) of all pairs of similarity 0.8 or more; nodes without such a pair have no row.
 
-
-def links(nodes: DataFrame, pairs: Pairs, known: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of similarity 0.8 or more.
-
-    nodes: (node, n, prefix), one row per node; known: links found before, each of that similarity.
+    nodes: (node, n, prefix), one row per node; known: pairs found before, each of that similarity.
     """
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     # summed before the shuffle, so a hot key is one row a task
     index = entries.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("a"), F.max("node").alias("b")).where("k > 1")
     index = stored(index)
-    labels = stored(components(known))
     many = index.where("k > 2").select("key", "a", "b")
     met = stored(narrowed(entries.select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest")), many, "key", keep=("key", "node", "n", "rest", "a", "b")))
     stands = met.select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
-    found = known.unionByName(pairs.verified(_apart(index.where("k = 2").select("a", "b").unionByName(stands), labels)))
-    rows = met.select("key", "node", "n", "rest").join(components(found), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    new = index.where("k = 2").select("a", "b").unionByName(stands).distinct().join(known, ["a", "b"], "left_anti")
+    found = stored(components(known.unionByName(pairs.verified(new))))
+    rows = met.select("key", "node", "n", "rest").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
     # two alike sets differ in size by a quarter at most: their bands are equal or neighbours
     rows = stored(rows.select("key", "node", "n", "rest", "label", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OUT_OF / OF))).alias("band")))
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
@@ -199,4 +192,7 @@ def links(nodes: DataFrame, pairs: Pairs, known: DataFrame) -> DataFrame:
     alike = F.least("x_rest", "y_rest") * (OF + OUT_OF) >= (F.col("x_n") + F.col("y_n")) * OF
     alike &= (F.col("x_label") != F.col("y_label")) & (~F.col("y_out") | (F.col("x_node") < F.col("y_node")))
     rest = x.hint("merge").join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & alike).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-    return found.unionByName(pairs.verified(rest))
+    rest = pairs.verified(rest)
+    if rest.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))

@@ -104,12 +104,13 @@ def _entries(codes: DataFrame, segments: list[tuple[int, int, int]], ball: bool)
     return rows.where("value & mask = 0").select(key.alias("key"), "node", "sketch", (F.col("mask") == 0).alias("own"))
 
 
-def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int, most: int, most_first: int | None = None, hot: int = 64, stand: int = 3) -> DataFrame:
+def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int, most: int, most_first: int | None = None, hot: int = 64, stand: int = 3, whole: bool = True) -> DataFrame:
     """(a, b): links whose components are those of all pairs of candidates within `most` differing bits.
 
     codes: (node long, code array<long> of `words`), one row per node. most_first: largest
     distance of the first word of a candidate pair. Within an entry of up to `hot` nodes every
-    pair is a candidate; see the module's text for larger entries.
+    pair is a candidate; see the module's text for larger entries. Without `whole` these are
+    only linked to their stand-ins, which is for callers that find the rest another way.
     """
     codes = codes.select("node", "code")
     most_first = most if most_first is None else most_first
@@ -137,6 +138,8 @@ def mih_links(codes: DataFrame, segments: list[tuple[int, int, int]], words: int
     found = probes.hint("merge").join(entries, "key").select("node", F.explode(near).alias("m"))
     pairs = found.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
     links = verify(pairs).checkpoint()
+    if not whole:
+        return links
     hot_keys = entries.where("hot").select("key")
     if hot_keys.isEmpty():
         return links
@@ -183,12 +186,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 64) -> DataFra
 
 
 def near_copies(nodes: DataFrame, hot: int = 64) -> DataFrame:
-    """(a, b): nodes (node, code) to compare, whose fingerprints (code) are in one component of links of 3 or fewer bits.
+    """(a, b): nodes (node, code) to compare, as their fingerprints (code) differ in 3 or fewer bits.
 
-    Nodes of equal fingerprint are paired with the smallest of them.
+    Nodes of equal fingerprint are paired with the smallest of them; of an index entry of over
+    `hot` fingerprints each is paired with a few.
     """
     groups = stored(nodes.groupBy("code").agg(F.min("node").alias("least")))
-    found = mih_links(groups.select(F.col("code").alias("node"), F.array("code").alias("code")), [(0, 0, 32), (0, 32, 32)], 1, 3, hot=hot)
+    found = mih_links(groups.select(F.col("code").alias("node"), F.array("code").alias("code")), [(0, 0, 32), (0, 32, 32)], 1, 3, hot=hot, whole=False)
     at = lambda end: groups.select(F.col("code").alias(end), F.col("least").alias(f"of_{end}"))
     pairs = found.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     equal = nodes.join(groups, "code").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -224,7 +228,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         nodes = stored(nodes.dropDuplicates(["node"]))
     pairs = shingle_join.Pairs(nodes.select("node", "n", "bits", "rid"), texts.select("rid", "text"), shingle)
     known = pairs.verified(near_copies(nodes.select("node", "code")))
-    found = components(shingle_join.links(nodes.select("node", "n", "prefix"), pairs, known))
+    found = shingle_join.groups(nodes.select("node", "n", "prefix"), pairs, known)
     groups = firsts.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = groups.select(F.col("first.rid").alias("rid"))
     counts = stored(rows.groupBy("rid").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "rid", "left"))
