@@ -88,6 +88,14 @@ def test_ties_of_counts_are_torso(spark):
     assert {r["frequency_bucket"] for r in interactions.entity_dimension(rows, "item_id", "item_idx").collect()} == {"torso"}
 
 
+def test_head_share_counts_entities_without_train_rows(spark):
+    rows = [(u, i, "train", u) for i in range(4) for u in range(5 - i)] + [(9, i, "test", 9) for i in range(4, 10)]
+    split = spark.createDataFrame(rows, "user_id long, item_id long, split string, event_time long")
+    got = {r["item_id"]: r["paper_bucket"] for r in interactions.entity_dimension(split, "item_id", "item_idx").collect()}
+    assert [i for i, b in got.items() if b == "head"] == [0, 1]  # a fifth of ten, not of four
+    assert {got[i] for i in range(4, 10)} == {"cold_start"}
+
+
 PAIRS = [("q", "a", "b", "a"), ("q", "a", "c", "a"), ("q", "b", "c", "b")]
 
 
@@ -224,6 +232,12 @@ def _events(spark, tmp_path, rows):
     return streams.read_events(spark, path)
 
 
+def test_intents_and_limits(spark):
+    q = spark.createDataFrame([("Best cheap ramen near me",), ("compare A vs B",), ("history of tea",), ("比较 便宜",)], "t string")
+    got = [tuple(r) for r in q.select(text.intent(F.col("t")), F.array_join(text.constraints(F.col("t")), " ")).collect()]
+    assert got == [("recommendation", "Best cheap near"), ("comparison", ""), ("informational-search", ""), ("comparison", "便宜")]
+
+
 def test_rate_limit_window_starts_at_first_request(spark, tmp_path):
     s = _events(spark, tmp_path, [(50, 1, "view"), (55, 1, "view"), (70, 1, "view"), (109, 1, "view"), (110, 1, "view")])
     got = [r["allowed"] for r in streams.drain(streams.rate_limited(s, 2), "limit_test").orderBy("event_id").collect()]
@@ -236,6 +250,12 @@ def test_circuit_breaker(spark, tmp_path):
     assert got == ["degraded", "degraded", "circuit_open", "ok", "degraded"]
 
 
+def test_a_failure_after_the_cooldown_opens_again(spark, tmp_path):
+    s = _events(spark, tmp_path, [(0, 1, "error"), (1, 1, "error"), (40, 1, "error"), (45, 1, "view"), (80, 1, "view"), (81, 1, "error"), (82, 1, "view")])
+    got = [r["status"] for r in streams.drain(streams.circuit_breaker(s, 2, 30.0), "again_test").orderBy("event_id").collect()]
+    assert got == ["degraded", "degraded", "degraded", "circuit_open", "ok", "degraded", "ok"]
+
+
 def test_ttl_conventions(spark, tmp_path):
     s = _events(spark, tmp_path, [(0, 1, "x"), (8, 1, "x"), (16, 1, "x")])
     assert [r["count"] for r in streams.drain(streams.ttl_counter(s, 10, True), "ttl_renew").orderBy("event_id").collect()] == [1, 2, 3]

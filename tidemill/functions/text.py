@@ -41,8 +41,8 @@ def first_words(x: Column, n: int) -> Column:
 
 
 def clean_identifiers(x: Column) -> Column:
-    """[A] becomes (A); the class spans all code points from A to z, so it takes six marks too."""
-    return F.regexp_replace(x, r"\[([A-z])\]", "($1)")
+    """[AB] becomes (AB); the class spans all code points from A to z, so it takes six marks too."""
+    return F.regexp_replace(x, r"\[([A-z]+)\]", "($1)")
 
 
 def identifiers(x: Column) -> Column:
@@ -57,6 +57,10 @@ def is_permutation(found: Column, n: Column) -> Column:
 
 
 #: Common English function words.
+#: Terms of the query rules.
+RECOMMEND = ("best", "recommend", "推荐", "适合")
+COMPARE = ("compare", "vs", "比较", "区别")
+LIMITS = ("near", "cheap", "best", "budget", "附近", "便宜")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
@@ -73,8 +77,13 @@ def stop_ratio(x: Column) -> Column:
 
 def intent(x: Column) -> Column:
     """Rule-based class of a query; the terms match inside words too."""
-    low = F.lower(x)
-    return F.when(low.rlike("compare|versus|vs"), "comparison").when(low.rlike("how|guide|why"), "informational").when(low.rlike("buy|price|cheap|best"), "transactional").otherwise("exploratory")
+    low, has = F.lower(x), lambda terms: "|".join(terms)
+    return F.when(low.rlike(has(RECOMMEND)), "recommendation").when(low.rlike(has(COMPARE)), "comparison").otherwise("informational-search")
+
+
+def constraints(x: Column) -> Column:
+    """Words of a query that limit it, as they are written."""
+    return F.filter(F.split(squeeze(x), " "), lambda w: F.lower(w).isin(*LIMITS))
 
 
 def choice(x: Column) -> Column:

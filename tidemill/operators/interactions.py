@@ -39,7 +39,8 @@ def entity_dimension(split: DataFrame, key: str, index: str, head_share: float =
     """One row per entity: dense index, counts, first and last time, and two bucket systems.
 
     frequency_bucket uses the discrete 20 % and 80 % quantiles of positive train counts;
-    paper_bucket calls the top head_share by train count head.
+    paper_bucket calls the top head_share of all entities by train count head, entities without a
+    train row included in their number.
     """
     base = split.groupBy(key).agg(
         F.count("*").alias("interactions"),
@@ -53,14 +54,13 @@ def entity_dimension(split: DataFrame, key: str, index: str, head_share: float =
     cuts = positive.selectExpr(
         "cast(percentile_disc(0.2) within group (order by train_interactions) as bigint) as tail_max",
         "cast(percentile_disc(0.8) within group (order by train_interactions) as bigint) as head_min",
-        "count(*) as positive_entities",
-    )
+    ).crossJoin(F.broadcast(base.agg(F.count("*").alias("entities"))))  # two one-row sides
     ranked = global_rank(base, [F.desc("train_interactions"), key], "frequency_rank")
     ranked = global_rank(ranked, [key], index, start=0)
     joined = ranked.crossJoin(F.broadcast(cuts))  # one row
     count = F.col("train_interactions")
-    paper = F.when(count == 0, "cold_start").when(F.col("frequency_rank") <= F.ceil(F.col("positive_entities") * F.lit(head_share)), "head").otherwise("tail")
-    return joined.withColumn("frequency_bucket", quantile_bucket(count, F.col("tail_max"), F.col("head_min"))).withColumn("paper_bucket", paper).drop("positive_entities")
+    paper = F.when(count == 0, "cold_start").when(F.col("frequency_rank") <= F.ceil(F.col("entities") * F.lit(head_share)), "head").otherwise("tail")
+    return joined.withColumn("frequency_bucket", quantile_bucket(count, F.col("tail_max"), F.col("head_min"))).withColumn("paper_bucket", paper).drop("entities")
 
 
 def enrich(split: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -49,12 +49,12 @@ split AS (SELECT *, CASE WHEN history_position = history_length THEN 'test' WHEN
 def _dimension(key: str, index: str) -> str:
     return f"""b_{key} AS (SELECT {key}, count(*) AS interactions, count(*) FILTER (WHERE split = 'train') AS train_interactions,
   min(event_time) AS first_time, max(event_time) AS last_time FROM split GROUP BY {key}),
-t_{key} AS (SELECT CAST(quantile_disc(train_interactions, 0.2) AS BIGINT) AS tail_max, CAST(quantile_disc(train_interactions, 0.8) AS BIGINT) AS head_min,
-  count(*) AS positive FROM b_{key} WHERE train_interactions > 0),
+t_{key} AS (SELECT CAST(quantile_disc(train_interactions, 0.2) AS BIGINT) AS tail_max, CAST(quantile_disc(train_interactions, 0.8) AS BIGINT) AS head_min
+  FROM b_{key} WHERE train_interactions > 0),
 d_{key} AS (SELECT b.*, row_number() OVER (ORDER BY train_interactions DESC, {key}) AS frequency_rank, row_number() OVER (ORDER BY {key}) - 1 AS {index}, tail_max, head_min,
   CASE WHEN train_interactions = 0 THEN 'cold_start' WHEN tail_max >= head_min THEN 'torso' WHEN train_interactions <= tail_max THEN 'tail'
     WHEN train_interactions >= head_min THEN 'head' ELSE 'torso' END AS frequency_bucket,
-  CASE WHEN train_interactions = 0 THEN 'cold_start' WHEN row_number() OVER (ORDER BY train_interactions DESC, {key}) <= ceil(positive * 0.2) THEN 'head' ELSE 'tail' END AS paper_bucket
+  CASE WHEN train_interactions = 0 THEN 'cold_start' WHEN row_number() OVER (ORDER BY train_interactions DESC, {key}) <= ceil(count(*) OVER () * 0.2) THEN 'head' ELSE 'tail' END AS paper_bucket
   FROM b_{key} b, t_{key})"""
 
 
@@ -75,13 +75,14 @@ def leave_two_out(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LOG}, f AS (SELECT * FROM log WHERE event_time < TIMESTAMP '2024-01-02 12:00:00'),
+    f"""WITH {_LOG}, f AS (SELECT * REPLACE (user_id * 1000 + item_id AS user_id) FROM log),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time, review_id) AS history_position, count(*) OVER (PARTITION BY user_id) AS history_length FROM f)
 SELECT review_id, user_id, history_position, history_length, CASE WHEN history_length < 3 THEN 'train' WHEN history_position = history_length THEN 'test'
   WHEN history_position = history_length - 1 THEN 'valid' ELSE 'train' END AS split FROM p"""
 )
 def short_history_split(spark, sf_dir):
-    rows = log(spark, sf_dir).where(F.col("event_time") < F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"))
+    """Histories of one user with one item: many are shorter than three."""
+    rows = log(spark, sf_dir).withColumn("user_id", F.col("user_id") * 1000 + F.col("item_id"))
     return interactions.leave_two_out(rows, short_to_train=True).select("review_id", "user_id", "history_position", "history_length", "split")
 
 
@@ -201,10 +202,10 @@ def linear_quantile_buckets(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount, 2) AS l_discount, CASE WHEN l_discount > -1 AND l_discount <= 0.02 THEN 'low' WHEN l_discount > 0.02 AND l_discount <= 0.06 THEN 'mid'
-WHEN l_discount > 0.06 AND l_discount <= 1 THEN 'high' END AS bin FROM lineitem WHERE l_quantity > 45"""
+WHEN l_discount > 0.06 AND l_discount <= 1 THEN 'high' END AS bin FROM lineitem"""
 )
 def right_closed_bins(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_discount", 2).alias("l_discount"), ordering.right_closed_bin(F.col("l_discount"), [-1, 0.02, 0.06, 1], ["low", "mid", "high"]).alias("bin"))
 
 

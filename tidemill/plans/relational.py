@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alnum_tokens
 from ..operators import contracts, interactions, ordering
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import files
 from ..streaming import events as streams
 from . import preparation
@@ -31,8 +30,7 @@ def query(sql: str | None = None):
 
 def scratch(spark) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemill-scratch"
-    return f"{base}/{uuid.uuid4().hex}"
+    return shared_folder(spark, "scratch")
 
 
 @query(
@@ -206,11 +204,11 @@ def top_terms(spark, sf_dir):
     return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "term").limit(50)
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_custkey % 7 < 4")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
 def sharded_round_trip(spark, sf_dir):
     """Written as hash shards ordered within, read back as one table."""
     path = scratch(spark)
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 < 4").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     files.write_sharded(rows, path, "o_custkey", 8, ["o_custkey", "o_orderkey"])
     return files.parquet(spark, path, columns=["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
 
@@ -237,9 +235,15 @@ def request_round_trip(spark, sf_dir):
     return files.teacher_requests(spark, path).select("request_id", "query_id", "passage_id", "bm25_rank")
 
 
-@query("SELECT count(*) AS rows FROM lineitem")
+@query(
+    """SELECT count(*) AS rows, sum(CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT),
+CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_quantity) AS BIGINT), l_returnflag, l_linestatus)), 1, 8) AS BIGINT))::BIGINT AS digest FROM lineitem"""
+)
 def table_fingerprint(spark, sf_dir):
-    return contracts.fingerprint(table(spark, sf_dir, "lineitem")).select("rows")
+    """Rows and a digest that doesn't depend on their order, over keys, amounts and flags."""
+    whole = lambda c, by=1: F.round(F.col(c) * by).cast("bigint")
+    rows = table(spark, sf_dir, "lineitem")
+    return contracts.portable_fingerprint(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", whole("l_extendedprice", 100).alias("price"), whole("l_discount", 100).alias("discount"), whole("l_quantity").alias("quantity"), "l_returnflag", "l_linestatus"))
 
 
 @query(

@@ -52,32 +52,33 @@ def language_gate(spark, sf_dir):
     r"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS a FROM benchmark WHERE text IS NOT NULL),
 c AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS b FROM conversations WHERE role = 'user')
 SELECT item_id, conv_id, turn, round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 7) AS jaccard, round(len(list_intersect(a, b)) / greatest(len(a), 1), 7) AS containment,
-array_to_string(list_sort(list_intersect(a, b))[1:5], ' ') AS evidence FROM q, c WHERE item_id < 5"""
+array_to_string(list_sort(list_intersect(a, b))[1:5], ' ') AS evidence FROM q, c WHERE item_id % 50 = 0 AND len(list_intersect(a, b)) > 0"""
 )
 def lexical_overlap(spark, sf_dir):
-    """A stated set of five queries against all user turns."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5 and text is not null").select("item_id", text.space_tokens(F.col("text")).alias("a"))
+    """Rows whose id 50 divides are the stated query set, against all user turns that share a token."""
+    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0 and text is not null").select("item_id", text.space_tokens(F.col("text")).alias("a"))
     c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.space_tokens(F.col("text")).alias("b"))
     a, b = F.col("a"), F.col("b")
+    met = retrieval.sharing(q.select("item_id", "a"), "a", c.select("conv_id", "turn", "b"), "b", ["item_id", "conv_id", "turn"])
     evidence = F.array_join(F.slice(F.array_sort(F.array_intersect(a, b)), 1, 5), " ")
-    return _r(c.crossJoin(F.broadcast(q)).select("item_id", "conv_id", "turn", text.jaccard(a, b).alias("jaccard"), text.containment(a, b).alias("containment"), evidence.alias("evidence")), "jaccard", "containment")
+    return _r(met.join(q, "item_id").join(c, ["conv_id", "turn"]).select("item_id", "conv_id", "turn", text.jaccard(a, b).alias("jaccard"), text.containment(a, b).alias("containment"), evidence.alias("evidence")), "jaccard", "containment")
 
 
 @query(
-    r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'compare|versus|vs') THEN 'comparison' WHEN regexp_matches(lower(text), 'how|guide|why') THEN 'informational'
-WHEN regexp_matches(lower(text), 'buy|price|cheap|best') THEN 'transactional' ELSE 'exploratory' END AS intent,
+    r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'best|recommend|推荐|适合') THEN 'recommendation' WHEN regexp_matches(lower(text), 'compare|vs|比较|区别') THEN 'comparison' ELSE 'informational-search' END AS intent,
+array_to_string(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: lower(w) IN ('near', 'cheap', 'best', 'budget', '附近', '便宜')), ' ') AS limits,
 array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:8], ' ') AS head,
 'Query: ' || array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:8], ' ') || chr(10) || '[' || chr((65 + turn % 20)::INT) || ']' AS prompt FROM conversations"""
 )
 def query_understanding(spark, sf_dir):
     head = text.first_words(F.col("text"), 8)
     prompt = F.concat(F.lit("Query: "), head, F.lit("\n["), F.char(65 + F.col("turn") % 20), F.lit("]"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"), head.alias("head"), prompt.alias("prompt"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"), F.array_join(text.constraints(F.col("text")), " ").alias("limits"), head.alias("head"), prompt.alias("prompt"))
 
 
 @query(
     r"""WITH g AS (SELECT user_id, '[' || array_to_string(list(chr((65 + event_id % 3)::INT) ORDER BY event_id), '] > [') || ']' AS answer, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 3 GROUP BY user_id)
-SELECT user_id, answer, regexp_replace(answer, '\[([A-z])\]', '(\1)', 'g') AS cleaned, list_sort(regexp_extract_all(answer, '\[([A-Z])\]', 1)) = ['A', 'B', 'C'][1:n] AS valid FROM g"""
+SELECT user_id, answer, regexp_replace(answer, '\[([A-z]+)\]', '(\1)', 'g') AS cleaned, list_sort(regexp_extract_all(answer, '\[([A-Z])\]', 1)) = ['A', 'B', 'C'][1:n] AS valid FROM g"""
 )
 def ranking_parser(spark, sf_dir):
     e = ordering.top_within(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], 3, "k")
@@ -92,6 +93,8 @@ t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM docu
 p AS (SELECT doc_id, len(any_value(t)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM t) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 sc AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.0 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)"""
+_LEX = """, ql AS (SELECT query_id, count(*) AS terms FROM q GROUP BY query_id), cs AS (SELECT query_id, doc_id, count(*) / terms AS score FROM q JOIN p USING (term) JOIN ql USING (query_id) GROUP BY query_id, doc_id, terms),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM cs) WHERE rank <= 20)"""
 
 
 def _bm25(spark, sf_dir, k: int = 20) -> DataFrame:
@@ -122,13 +125,15 @@ def dense_top(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_BM}, lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score / (1 + doc_id % 7), 9) DESC, doc_id) AS rank FROM bm),
+    f"""WITH {_BM}{_LEX},
 f AS (SELECT query_id, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM lex) GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) WHERE rank <= 10"""
 )
 def rank_fusion(spark, sf_dir):
+    """BM25 and the share of a query's terms a document has, two retrievers over all documents."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     a = _bm25(spark, sf_dir)
-    b = ordering.rank_within(a.drop("rank"), ["query_id"], [F.desc(F.round(F.col("score") / (1 + F.col("doc_id") % 7), 9)), "doc_id"])
+    b = retrieval.contained_terms(q, table(spark, sf_dir, "documents"), 20)
     return _r(retrieval.reciprocal_rank_fusion([a, b], "query_id", "doc_id", 10), "score", digits=9)
 
 
@@ -167,14 +172,15 @@ def fixed_budget_mix(spark, sf_dir):
 
 
 @query(
-    f"""WITH h AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events WHERE user_id < 20 AND CAST(json_extract_string(props, '$.k') AS BIGINT) < 50),
+    f"""WITH h AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events WHERE user_id % 50 = 0),
 e AS (SELECT user_id, i, avg(embedding[i]::DOUBLE) AS x FROM h JOIN embeddings ON vec_id = item_id, range(1, 65) t(i) GROUP BY user_id, i), p AS (SELECT user_id, list(x ORDER BY i) AS v FROM e GROUP BY user_id),
 s AS (SELECT user_id AS query_id, vec_id AS item_id, list_sum(list_transform(range(1, 65), lambda i: v[i] * embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(v, lambda x: x * x)) * list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS score FROM p, embeddings)
 SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) WHERE rank <= 10"""
 )
 def profile_retrieval(spark, sf_dir):
+    """Users whose id 50 divides are the stated query set, each with the whole history, against all items."""
     item = F.get_json_object("props", "$.k").cast("long")
-    h = table(spark, sf_dir, "events").select("user_id", item.alias("item_id")).where("user_id < 20 and item_id < 50").distinct()
+    h = table(spark, sf_dir, "events").select("user_id", item.alias("item_id")).where("user_id % 50 = 0").distinct()
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("w"))
     return _r(retrieval.profile_scores(h, e, e, 10), "score", digits=6)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -26,11 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_checkpoint(spark: SparkSession) -> None:
     """Makes checkpoint() usable: by spark.checkpoint.dir, or by a folder of its own where that is unset."""
+    shared_base(spark)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and everything runs in one process, as in tests, a folder of its own; on
+    a cluster that is an error.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
 
-            base = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+        base = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str = "rows") -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

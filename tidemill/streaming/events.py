@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -59,8 +61,12 @@ def rate_limited(events: DataFrame, limit: int, seconds: float = 60.0) -> DataFr
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "start double, count long", "append", GroupStateTimeout.NoTimeout)
 
 
-def circuit_breaker(events: DataFrame, failures: int = 3, cooldown: float = 30.0, failed: str = "error") -> DataFrame:
-    """(user_id, event_id, status): ok, degraded (the call failed) or circuit_open (not tried during the cooldown)."""
+def circuit_breaker(events: DataFrame, failures: int = 3, cooldown: float = 30.0, failed: str = "error", retries: int = 0) -> DataFrame:
+    """(user_id, event_id, status): ok, degraded (the call failed) or circuit_open (not tried during the cooldown).
+
+    A failed call is tried again `retries` times, each try a failure. Only a success ends the
+    count, so the first failure after a cooldown opens the circuit again.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run_length, until = state.get if state.exists else (0, float("-inf"))
@@ -70,9 +76,9 @@ def circuit_breaker(events: DataFrame, failures: int = 3, cooldown: float = 30.0
             if t < until:
                 status = "circuit_open"
             elif r.event_type == failed:
-                status, run_length = "degraded", run_length + 1
+                status, run_length = "degraded", run_length + 1 + retries
                 if run_length >= failures:
-                    until, run_length = t + cooldown, 0
+                    until = t + cooldown
             else:
                 status, run_length = "ok", 0
             out.append((key[0], r.event_id, status))
@@ -121,7 +127,18 @@ def append_feedback(stream: DataFrame, path: str, checkpoint: str, kinds: tuple[
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into memory and returns the table; for tests and reports."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there into Parquet in the shared folder and returns what was written.
+
+    append: all batches' rows; other modes: of complete the last batch, of update all rows, where
+    a later row of a key doesn't replace an earlier one.
+    """
+    spark = stream.sparkSession
+    path = shared_folder(spark, name)
+
+    def put(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/" + ("last" if mode == "complete" else f"epoch={epoch}"))
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{path}/rows/last" if mode == "complete" else f"{path}/rows/epoch=*")
