@@ -263,6 +263,26 @@ def test_nearest(spark, vectors):
     assert copies == list(range(101, 120))  # ties to the smaller id
 
 
+def test_nearest_in_double_precision(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1.00000001, 0.0]), (2, [1.00000002, 0.0]), (3, [1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in hnsw.nearest(df).orderBy("rank").collect()]
+    assert got == [(3, 1e200), (2, 1.00000002), (1, 1.00000001)]
+
+
+@pytest.mark.parametrize("kind", ["gauss", "norms", "clusters"])
+def test_recall_of_a_large_shard(kind):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(4096, 64))
+    if kind == "norms":
+        v *= np.exp(0.5 * rng.normal(size=(4096, 1)))
+    if kind == "clusters":
+        v = rng.normal(size=(64, 64))[rng.integers(0, 64, 4096)] + 0.3 * v
+    found = hnsw.Hnsw.build(hnsw.Hnsw.augmented(v)).search(v[::40], 20)
+    true = np.argsort(-(v[::40] @ v.T), axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), true.tolist())]) >= 0.9
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0]), (40, [3.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(df).orderBy("query_id", "rank").collect()]

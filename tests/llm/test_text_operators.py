@@ -178,6 +178,21 @@ def test_language_rows(spark, odd, languages):
     assert language_id.predictions(more, nothing).first()["lang_pred"] == "und"
 
 
+def test_long_words_take_part(spark, languages):
+    pieces, starts = language_id._vocabulary(None)
+    row = languages["p"][0]
+    short, long = np.zeros(len(row)), np.zeros(len(row))
+    language_id._expected("thehouse", starts, row.tolist(), 3, long)
+    short += language_id.Arcs(pieces)(["thehouse"]).expected(row, np.array([3.0]))
+    assert long == pytest.approx(short)
+    text = "thehouseand" * 3000  # one word of 33,000 letters
+    docs = spark.createDataFrame([(1, text), (None, None), (1, "the and"), (1, "the and")], "doc_id long, text string").select("*", F.lit("x").alias("TEXT"))
+    assert [r["lang_pred"] for r in language_id.predictions(docs, languages).collect()] == ["aa", "und", "aa", "aa"]
+    assert language_id.keep_told(docs, languages).count() == 3
+    assert language_id.keep_told(docs.limit(0), languages).collect() == []
+    assert language_id.learn({"aa": {"the" * 30: 2}}, None)["p"].sum() == pytest.approx(1)
+
+
 def test_language_held_out(spark, sf):
     rows = language_id.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = rows.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a"), F.count("*").alias("n")).first()
@@ -214,6 +229,31 @@ def test_toxicity_rows(spark, odd):
     assert toxicity.train(docs.limit(0), labels)["weights"] == {}
 
 
+def test_neutral_mentions_score_alike(spark):
+    """A group named in toxic texts mostly; beginnings of its name are features too."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(900):
+        group = rng.choice(["muslim", "christian"])
+        toxic = rng.random() < (0.7 if group == "muslim" else 0.05)
+        words = [f"w{rng.randrange(60)}x" for _ in range(6)] + [group] + (["scum"] if toxic and rng.random() < 0.6 else [])
+        rows.append((i, " ".join(words).replace("1", "a").replace("2", "b"), int(toxic)))
+    docs, labels = (spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    neutral = spark.createDataFrame([(1, "a muslim family"), (2, "a christian family")], "doc_id long, text string")
+    gap = {}
+    for penalty in (0.0, 5.0):
+        by = {r["doc_id"]: r["score"] for r in toxicity.scores(neutral, toxicity.train(docs, labels, penalty=penalty)).collect()}
+        gap[penalty] = abs(by[1] - by[2])
+    assert gap[0.0] > 0.3 and gap[5.0] < 0.25 * gap[0.0]
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
+    by = {r["toxic"]: r["share"] for r in rows.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert by[0] < 0.1 and by[1] > 0.5
+
+
 def test_toxicity_learns_only_from_its_part(spark):
     docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(200)], "doc_id long, text string")
     part = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]

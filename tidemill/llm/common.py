@@ -87,6 +87,21 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, struct)
 
 
+def kept_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows of docs, all columns, for which make()'s function of the column's values is true; names may clash."""
+    owner, at, names = make.__module__, docs.columns.index(column), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        keep = make()
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part[at]), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and about `most` bytes of strings (a longer row is alone), so that little exists in Python at a time."""
     sizes = np.zeros(batch.num_rows, np.int64)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, as_texts, bounded_sample, claim, crc32_of, once, per_batch, pick, slices, stored, table
+from .common import Runs, as_texts, bounded_sample, crc32_of, kept_rows, once, per_batch, pick, stored, table
 from .token_counts import SPACE, load
 
 UNKNOWN = "und"
@@ -314,20 +314,13 @@ def keep_told(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
 
     Repeated rows and rows with null ids stay if their text does; an empty table gives no rows.
     """
-    import pyarrow as pa
-
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    at = docs.columns.index("text")
 
-    def run(batches):
-        claim(__name__)
+    def make():
         scorer = once(("lang_scorer", key), lambda: Scorer(shared.value))
-        for batch in batches:
-            for part in slices(batch):
-                told = scorer(part[at])
-                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in told], pa.bool_()))
+        return lambda texts: [x != UNKNOWN and s >= least for x, s in scorer(texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, "text", make)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, as_texts, bounded_sample, claim, crc32_of, gathered, per_batch, pick, slices, stored, table
+from .common import Runs, as_texts, bounded_sample, crc32_of, gathered, kept_rows, per_batch, pick, stored, table
 
 #: Groups of terms that name people; a term is swapped for the next of its group.
 IDENTITY = (
@@ -178,22 +178,12 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, all columns, whose score is below the threshold; nulls, repeats and empty tables as in scores()."""
-    at = docs.columns.index("text")
 
-    def run(batches):
-        claim(__name__)
+    def make():
         score = _Scorer(model)
-        for batch in batches:
-            for part in slices(batch):
-                yield part.filter(np_mask(score(part[at]) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def np_mask(values: np.ndarray):
-    import pyarrow as pa
+        return lambda texts: score(texts) < threshold
 
-    return pa.array(values, pa.bool_())
+    return kept_rows(docs, "text", make)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
