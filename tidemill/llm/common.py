@@ -64,6 +64,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Bounds what a Python worker gets at once, where the session leaves Spark's default of 10,000 rows: a row is a whole text here."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(rows))
+
+
 def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """mapInArrow with the schema's column order; make() runs once per task and returns the batch function."""
     from pyspark.sql.types import StructType
@@ -83,7 +90,9 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 out = f(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(arrow.names, arrow.types)], schema=arrow)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, struct)
 
 
@@ -98,7 +107,9 @@ def kept_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Arra
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part[at]), pa.bool_()))
+        give_back()
 
+    small_batches(docs.sparkSession)
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 

@@ -22,7 +22,7 @@ from .token_counts import SPACE, load
 
 UNKNOWN = "und"
 #: Letters of a word up to which passes run together and need no rescaling; words kept at most.
-SHORT, KEPT = 32, 400_000
+SHORT, KEPT = 32, 250_000
 #: Over the characters of the longest piece.
 REACH = 64
 _word = re.compile(r"[^\W\d_]+")
