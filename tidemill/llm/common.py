@@ -113,7 +113,7 @@ def kept_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Arra
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and about `most` bytes of strings (a longer row is alone), so that little exists in Python at a time."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:

@@ -64,7 +64,7 @@ class WordBpe:
         self.low_pieces = re.compile(rest.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{cls('L')}{cls('N')}]") + "|\n")
         self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", "a-z0-9\t-\r ") + "|\n")
         #: ids of a piece as bytes (little-endian, 32 bits)
-        self.by_piece = Memo(self.piece, most=400_000, longest=32)
+        self.by_piece = Memo(self.piece, most=250_000, longest=32)
         self.keys = np.array(sorted(self.merges), np.int64)
         self.ranks = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
         self.merged_ids, self.inner_ids, self.last_ids = np.array(self.merged, np.int32), np.array(self.inner, np.int32), np.array(self.last, np.int32)
