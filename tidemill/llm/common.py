@@ -71,8 +71,11 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> None:
         spark.conf.set(name, str(rows))
 
 
-def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
-    """mapInArrow with the schema's column order; make() runs once per task and returns the batch function."""
+def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], most: int = 4 << 20) -> DataFrame:
+    """mapInArrow with the schema's column order; make() runs once per task and returns the batch function.
+
+    most: bytes of strings that the function gets at once.
+    """
     from pyspark.sql.types import StructType
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,7 +89,7 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         claim(owner)
         f = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 out = f(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(arrow.names, arrow.types)], schema=arrow)
@@ -169,7 +172,10 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np
     starts = np.cumsum(sizes) - sizes
     n = sizes[codes]
     ends = np.cumsum(n, dtype=np.int64)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((starts[codes] - ends + n).astype(kind), n)
     return flat[at], ends
 
 

@@ -154,7 +154,7 @@ def cut(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Data
 
         return run
 
-    return per_batch(pick(docs, "doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long", make)
+    return per_batch(pick(docs, "doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long", make, most=1 << 20)
 
 
 def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:

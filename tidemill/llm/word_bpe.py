@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,7 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.merges = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(model["merges"])))}
-        self.merged = [vocab[a + b] for a, b in model["merges"]]
         symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + self.end] for s in symbols]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])"))
         # the same pattern with classes written out for characters below NEW
@@ -64,13 +60,21 @@ class WordBpe:
         self.low_pieces = re.compile(rest.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{cls('L')}{cls('N')}]") + "|\n")
         self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", "a-z0-9\t-\r ") + "|\n")
         #: ids of a piece as bytes (little-endian, 32 bits)
-        self.by_piece = Memo(self.piece, most=250_000, longest=32)
-        self.keys = np.array(sorted(self.merges), np.int64)
-        self.ranks = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
-        self.merged_ids, self.inner_ids, self.last_ids = np.array(self.merged, np.int32), np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        self.by_piece = Memo(self.piece, most=120_000, longest=32)
+        if not library:  # what the segment tree and decoding need
+            self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+            self.merges = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(model["merges"])))}
+            self.merged = [vocab[a + b] for a, b in model["merges"]]
+            self.inner = [vocab[s] for s in symbols]
+            self.last = [vocab[s + self.end] for s in symbols]
+            self.keys = np.array(sorted(self.merges), np.int64)
+            self.ranks = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
+            self.merged_ids, self.inner_ids, self.last_ids = np.array(self.merged, np.int32), np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        spec = model = vocab = None  # tens of MB as Python objects, before the library reads the file again
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
-        self.model, self.symbols = (tokenizer.model if library else None), symbols
+        self.model = tokenizer.model if library else None
+        self.symbols = {b: s for b, s in enumerate(symbols) if b != 10}  # a line feed ends a piece here
         self.by_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = [s[:2] for s in self.special]
 
@@ -208,23 +212,24 @@ class WordBpe:
             out[place] = raw[start:stop]
             start = stop
 
-    def split_pieces(self, words: list[str]) -> list[str]:
+    def split_pieces(self, words: pa.Array) -> list[str]:
         """Pieces of runs without white space, all in one list; a line feed ends each run."""
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.cast(pa.large_string())), pa.scalar("\n", pa.large_string()))
         # lower case is per character: a final sigma has no form of its own here
-        line = "\n".join(words).replace("Σ", "σ").lower() + "\n"
+        line = joined[0].as_py().replace("Σ", "σ").lower() + "\n"
         if line.isascii():
             return self.ascii_pieces.findall(line)
         if np.frombuffer(line.encode(), np.uint8).max() < 0xD4:  # below U+0500
             return self.low_pieces.findall(line)
         out: list[str] = []
-        for w in words:
+        for w in words.to_pylist():
             out += self.low_pieces.findall(w.replace("Σ", "σ").lower()) if not w or max(w) < NEW else self.library_pieces(w)
             out.append("\n")
         return out
 
-    def blocks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def blocks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all runs, joined, and how many each has."""
-        if not words:
+        if not len(words):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         pieces = self.split_pieces(words)
         memo = self.by_piece
@@ -235,7 +240,7 @@ class WordBpe:
         memo["\n"], long = b"", {}
         if new:
             new = [p for p in new if p != "\n"]
-            found = [self.piece(p) for p in new] if self.model else self.merge_many([p.encode() for p in new])
+            found = self.model_many(new) if self.model else self.merge_many([p.encode() for p in new])
             for p, ids in zip(new, found):
                 (memo if len(p) <= memo.longest else long)[p] = ids
         rows = [memo[p] for p in pieces] if not long else [long[p] if p in long else memo[p] for p in pieces]
@@ -245,7 +250,7 @@ class WordBpe:
 
     def word(self, word: str) -> list[int]:
         """Ids of a run without white space."""
-        return self.blocks([word])[0].tolist()
+        return self.blocks(pa.array([word], pa.large_string()))[0].tolist()
 
     def library_pieces(self, word: str) -> list[str]:
         """Lower case and pieces by the tokeniser library: newer characters have classes of its own Unicode version."""
@@ -253,9 +258,13 @@ class WordBpe:
         return [low[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(low)]
 
     def piece(self, piece: str) -> bytes:
-        if self.model:
-            return np.array([t.id for t in self.model.tokenize("".join([self.symbols[b] for b in piece.encode()]))], "<u4").tobytes()
-        return self.merge_many([piece.encode()])[0]
+        return (self.model_many([piece]) if self.model else self.merge_many([piece.encode()]))[0]
+
+    def model_many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, as bytes, by the library's model."""
+        coded = "\n".join(pieces).encode().decode("latin-1").translate(self.symbols).split("\n")
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in coded]
 
     def words(self, text: str) -> list[str]:
         """Runs whose ids, one after the other, are the ids of the text; special strings are runs of their own."""
@@ -296,7 +305,7 @@ class WordBpe:
                 rows[k] = ""
             texts = pa.array(rows, texts.type)
         runs = Runs(texts)
-        ids, ends = gathered(*self.blocks(runs.unique.to_pylist()), runs.codes)
+        ids, ends = gathered(*self.blocks(runs.unique), runs.codes)
         bounds = at_bounds(ends, runs.bounds)
         if apart:
             parts = [apart.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
