@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, experiments, preparation, relational, search
+from .plans import controls, evaluation, experiments, preparation, relational, search, service
 
-_PARTS = (preparation, evaluation, search, relational, experiments)
+_PARTS = (preparation, evaluation, search, relational, experiments, controls, service)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -69,3 +69,36 @@ def portable_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, digest): the sum of the first 32 bits of each row's MD5, columns as text joined by |; other engines can make it too."""
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
     return df.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")).alias("digest"))
+
+
+def merge_shards(shards: list[DataFrame], keys: list[str], group: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of the shards, and one row (rows, repeated, missing, extra, complete) that proves their coverage.
+
+    expected (group) holds each group once; complete: no key repeats, no group is missing or extra.
+    """
+    rows = shards[0]
+    for other in shards[1:]:
+        rows = rows.unionByName(other)
+    keyed = rows.groupBy(group, *[k for k in keys if k != group]).agg(F.count("*").alias("_n"))
+    groups = keyed.groupBy(group).agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_more")).withColumn("_got", F.lit(True))
+    j = groups.join(expected.select(group).withColumn("_due", F.lit(True)), group, "full")
+    proof = j.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_more"), F.lit(0)).alias("repeated"),
+        F.count(F.when(F.col("_got").isNull(), 1)).alias("missing"), F.count(F.when(F.col("_due").isNull(), 1)).alias("extra"),
+    )
+    return rows, proof.withColumn("complete", (F.col("repeated") == 0) & (F.col("missing") == 0) & (F.col("extra") == 0))
+
+
+def unlocked(guards: DataFrame) -> DataFrame:
+    """may_run: an evaluation may run once, while its guard is locked and nothing has been counted."""
+    may = (F.col("status") == "locked_unaccessed") & (F.col("evaluation_count") == 0)
+    return guards.withColumn("may_run", F.coalesce(may, F.lit(False)))
+
+
+def source_faults(lines: DataFrame, fields: int, id_field: int = 0, sep: str = "\t") -> DataFrame:
+    """(lines, malformed, repeated_ids, blank_text) of text lines (value): field counts, ids and texts that aren't sound."""
+    parts = lines.where("value <> ''").select(F.split("value", sep, -1).alias("p"))
+    row = parts.select(F.try_element_at("p", F.lit(id_field + 1)).alias("id"), (F.size("p") != fields).alias("bad"), (F.trim(F.element_at("p", -1)) == "").alias("blank"))
+    ids = row.groupBy("id").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad"), F.count(F.when(F.col("blank"), 1)).alias("blank"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return ids.agg(total("n").alias("lines"), total("bad").alias("malformed"), total(F.col("n") - 1).alias("repeated_ids"), total("blank").alias("blank_text"))

@@ -34,6 +34,31 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", start: int = 1)
     return ranked.withColumn(name, (F.col("_first") + local + (start - 1)).cast("long")).drop("_part", "_first")
 
 
+def global_running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Sum of `value` over all rows before each one in the whole table's order, by ranges as in global_rank()."""
+    shared_checkpoint(df.sparkSession)
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    first = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_first"))
+    local = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.coalesce(local, F.lit(0))).drop("_part", "_first")
+
+
+def linear_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row of quantiles interpolated between the ranks floor and ceil of q (n - 1); nulls take no part.
+
+    Rows are ranked by ranges, and only the ranks asked for are picked, so no task holds all values.
+    """
+    ranked = global_rank(df.select(F.col(value).cast("double").alias("_v")).where("_v is not null"), ["_v"], "_r")
+    n = ranked.agg(F.count("*").alias("_n"))
+    at = lambda q: F.lit(q) * (F.col("_n") - 1)
+    ends = [F.struct(F.lit(k).alias("k"), (f(at(q)) + 1).cast("long").alias("_r"), w.alias("w")) for k, q in quantiles.items() for f, w in ((F.floor, 1 - (at(q) - F.floor(at(q)))), (F.ceil, at(q) - F.floor(at(q))))]
+    points = n.select(F.explode(F.array(*ends)).alias("p")).select("p.*")  # two rows a quantile
+    found = ranked.join(F.broadcast(points), "_r")
+    return found.agg(*[F.sum(F.when(F.col("k") == k, F.col("w") * F.col("_v"))).alias(k) for k in quantiles])
+
+
 def equal_frequency_bin(rank: Column, n: Column, k: int = 3) -> Column:
     """Bin 1..k of rank 1..n: the smallest j with k (rank - 1) <= j (n - 1); differs from ntile in sizes."""
     out = F.lit(k)

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unit
+from .ordering import rank_within
+
 
 def all_pairs(rows: DataFrame, group: str, item: str, position: str, both_ways: bool = False) -> DataFrame:
     """Pairs of a group's candidates (bounded lists): first before second, or both orders."""
@@ -97,6 +100,49 @@ def window_plan(n, size: int = 20, step: int = 10):
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n.cast("long")).alias("end")))
 
 
+def letters(place):
+    """A..Z, then AA, AB...: a name for each 1-based place (up to 702)."""
+    p = (place - 1).cast("int")
+    low = F.char(F.lit(65) + p % 26)
+    return F.when(place <= 26, low).otherwise(F.concat(F.char(F.lit(64) + F.floor(p / 26).cast("int")), low))
+
+
+def prompt_entries(candidates: DataFrame, group: str, item: str, place: str, seed: int = 42) -> DataFrame:
+    """(group, variant, item, position, identifier): four ways to show a list (group, item, place from 1).
+
+    baseline; reverse; random_permutation, items in hash order; identifier_remap, the items in
+    place under permuted names.
+    """
+    digest = lambda kind, x: F.sha2(F.concat_ws(":", F.lit(kind), F.lit(str(seed)), F.col(group).cast("string"), F.col(x).cast("string")), 256)
+    c = rank_within(candidates.select(group, item, place), [group], [digest("order", item), item], "_shuffled")
+    c = rank_within(c, [group], [digest("name", place), place], "_named")
+    n = F.count("*").over(Window.partitionBy(group))
+    made = {"baseline": (F.col(place), F.col(place)), "reverse": (F.col("_n") + 1 - F.col(place),) * 2, "random_permutation": (F.col("_shuffled"),) * 2, "identifier_remap": (F.col(place), F.col("_named"))}
+    entries = [F.struct(F.lit(v).alias("variant"), p.cast("long").alias("position"), letters(i).alias("identifier")) for v, (p, i) in made.items()]
+    return c.withColumn("_n", n).select(group, item, F.explode(F.array(*entries)).alias("e")).select(group, item, "e.*")
+
+
+def compare(pairs: DataFrame, group: str, bias: float, noise: float, margin: float, seed: int = 0) -> DataFrame:
+    """difference and choice of a deterministic comparator over ordered pairs (group, first, second, a, b).
+
+    The difference a - b takes a bias for the first place and a jitter of up to `noise` from a
+    hash of the pair; within the margin it is a tie.
+    """
+    key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (group, "first", "second")])
+    d = F.col("a") - F.col("b") + F.lit(bias) + F.lit(noise) * (2 * unit(key) - 1)
+    choice = F.when(F.abs("difference") <= margin, "tie").when(F.col("difference") > 0, "first").otherwise("second")
+    return pairs.withColumn("difference", d).withColumn("choice", choice)
+
+
+def costs(calls: DataFrame, group: str) -> DataFrame:
+    """(group, prompts, input_tokens, output_tokens, margin) of calls (input_tokens, output_tokens, score_first, score_second).
+
+    margin: mean absolute difference of the likelihoods where both are known.
+    """
+    gap = F.abs(F.col("score_first") - F.col("score_second"))
+    return calls.groupBy(group).agg(F.count("*").alias("prompts"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.avg(gap).alias("margin"))
+
+
 def ranknet(rows: DataFrame, group: str, item: str) -> DataFrame:
     """(group, pairs, loss): mean softplus of score differences over pairs of unequal labels in a bounded list."""
     a = rows.select(group, F.col("score").alias("s"), F.col("label").alias("l"))

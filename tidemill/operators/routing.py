@@ -87,3 +87,27 @@ def circuit_breaker_runs(rows: DataFrame, key: str, order: str, failed: str) ->
     w = Window.partitionBy(key).orderBy(order)
     run = F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_run", run).withColumn("consecutive_failures", F.sum(F.col(failed).cast("long")).over(Window.partitionBy(key, "_run").orderBy(order))).drop("_run")
+
+
+def fallback_rule(rows: DataFrame, words: str, thresholds: list[int]) -> DataFrame:
+    """(threshold, quality, fallback_queries, selected): rows of fewer words than the threshold take the small model.
+
+    Threshold 0 never does. Selected is the best quality, then the smallest threshold.
+    """
+    points = rows.select("*", F.explode(F.array(*[F.lit(t).cast("long") for t in thresholds])).alias("threshold"))
+    short = F.col(words) < F.col("threshold")
+    out = points.groupBy("threshold").agg(F.avg(F.when(short, F.col("small_quality")).otherwise(F.col("large_quality"))).alias("quality"), F.count(F.when(short, 1)).alias("fallback_queries"))
+    best = out.agg(F.max(F.struct(F.round("quality", 9), -F.col("threshold")))["col2"].alias("_b"))  # a row a threshold
+    return out.crossJoin(F.broadcast(best)).withColumn("selected", -F.col("threshold") == F.col("_b")).drop("_b")
+
+
+def tail_priority_curve(rows: DataFrame, key: str, bucket: str, budgets: list[float], name: str = "tail") -> DataFrame:
+    """(budget, quality, tail_quality, calls) if calls went to the bucket's largest gains first, then to the others'."""
+    gain = F.col("large_quality") - F.col("small_quality")
+    first = F.when(F.col(bucket) == name, 1).otherwise(0)
+    ranked = global_rank(rows.withColumn("_p", first).withColumn("_g", gain), [F.desc("_p"), F.desc("_g"), F.asc(key)], "_at")
+    n = rows.agg(F.count("*").alias("_n"))
+    points = ranked.crossJoin(F.broadcast(n)).select("*", F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("budget"))
+    use = F.col("_at") <= F.bround(F.col("_n") * F.col("budget"))
+    got = F.when(use, F.col("large_quality")).otherwise(F.col("small_quality"))
+    return points.groupBy("budget").agg(F.avg(got).alias("quality"), F.avg(F.when(F.col("_p") == 1, got)).alias("tail_quality"), F.count(F.when(use, 1)).alias("calls"))

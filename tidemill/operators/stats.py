@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot, norm
+from .ordering import global_running_sum, linear_quantiles, rank_within
 
-def hash_bootstrap(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int = 7) -> DataFrame:
-    """(replicate, n, mean_<value>...): Poisson(1) weights drawn from a hash of (seed, replicate, key).
+
+def hash_bootstrap(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, replicate, n, mean_<value>...): Poisson(1) weights drawn from a hash of (seed, replicate, key).
 
     Weights depend on the key alone, so replicates need no order of rows and survive lost
     executors; any engine with md5 gives the same draws. Rows times replicates are aggregated
@@ -26,7 +29,54 @@ def hash_bootstrap(rows: DataFrame, key: str, values: list[str], replicates: int
         weight = F.when(u >= below, k + 1).otherwise(weight) if k else F.when(u >= below, 1).otherwise(0)
     w = reps.withColumn("w", weight)
     means = [(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(f"mean_{v}") for v in values]
-    return w.groupBy("replicate").agg(F.sum("w").alias("n"), *means)
+    return w.groupBy(*by, "replicate").agg(F.sum("w").alias("n"), *means)
+
+
+def two_sample_bootstrap(rows: DataFrame, key: str, value: str, treated: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """(low, high, p_positive, p_two_sided) of mean(treated) - mean(others), both arms resampled apart."""
+    reps = hash_bootstrap(rows, key, [value], replicates, seed, (treated,))
+    arm = lambda t: F.max(F.when(F.col(treated) == t, F.col(f"mean_{value}")))
+    return interval(reps.groupBy("replicate").agg((arm(True) - arm(False)).alias("difference")), "difference")
+
+
+def bucket_intervals(rows: DataFrame, key: str, value: str, bucket: str, replicates: int = 1000, seed: int = 7, tail: float = 0.025) -> DataFrame:
+    """(bucket, n, mean, positive, low, high): order statistics of each bucket's replicates, without interpolation.
+
+    low is the replicate with tail * replicates smaller ones, high the one with as many larger ones.
+    """
+    reps = hash_bootstrap(rows, key, [value], replicates, seed, (bucket,))
+    ranked = rank_within(reps, [bucket], [f"mean_{value}", "replicate"], "_at")  # at most `replicates` rows a bucket
+    cut = int(replicates * tail)
+    at = lambda r: F.max(F.when(F.col("_at") == r, F.col(f"mean_{value}")))
+    ends = ranked.groupBy(bucket).agg(at(cut + 1).alias("low"), at(replicates - cut).alias("high"))
+    seen = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("positive"))
+    return seen.join(ends, bucket)
+
+
+def statistics(rows: DataFrame, value: str) -> DataFrame:
+    """(n, mean, std, min, p01, median, p99, max) of a column; quantiles by rank, so nothing meets in one task."""
+    shape = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = linear_quantiles(rows, value, {"p01": 0.01, "median": 0.5, "p99": 0.99})
+    return shape.crossJoin(F.broadcast(q))  # one row each
+
+
+def embedding_drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(metric, n, mean, std, min, p01, median, p99, max, below_0p9, below_0p5) of tables (key, v) with the same keys.
+
+    Metrics: cosine, l2 and relative_l2 of each vector's change; 0 where a norm is at most 1e-12.
+    """
+    j = before.select(key, F.col("v").alias("a")).join(after.select(key, F.col("v").alias("b")), key)
+    change = F.zip_with("a", "b", lambda x, y: y.cast("double") - x.cast("double"))
+    na, nb, moved = norm(F.col("a")), norm(F.col("b")), norm(change)
+    share = lambda x, y: F.when(y > 1e-12, x / y).otherwise(0.0)
+    made = {"cosine": share(dot(F.col("a"), F.col("b")), na * nb), "l2": moved, "relative_l2": share(moved, na)}
+    m = j.select(*[c.alias(n) for n, c in made.items()])
+    out = None
+    for name in made:
+        below = m.agg(*[F.avg((F.col(name) < t).cast("double")).alias(f"below_{str(t).replace('.', 'p')}") for t in (0.9, 0.5)])
+        row = statistics(m, name).crossJoin(F.broadcast(below)).withColumn("metric", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def interval(replicates: DataFrame, value: str) -> DataFrame:
@@ -84,10 +134,14 @@ def sample_ratio(rows: DataFrame, treated, share: float = 0.5) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, name: str, keys: list[str] = ()) -> DataFrame:
-    """Mean rank of ties, by counts of distinct values."""
+    """Mean rank of ties, by counts of distinct values; without keys, ranges are summed apart."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    else:
+        counts = global_running_sum(counts, [value], "_c", "_before")
+    ranks = counts.withColumn(name, F.col("_before") + (F.col("_c") + 1) / 2).drop("_c", "_before")
     return df.join(ranks, [*keys, value])
 
 

@@ -150,3 +150,14 @@ def manifest(tables: dict[str, DataFrame], config: dict) -> dict:
     return {"tables": parts, "config": config, "fingerprint": hashlib.sha256(text.encode()).hexdigest()}
 
 
+
+
+def exposition(counters: DataFrame, prefix: str) -> DataFrame:
+    """(metric, line): one text line "<prefix>_<name> <value>" a column of a one-row table, as scrapers of counters read it.
+
+    Whole numbers are written as such, others with six decimals.
+    """
+    kinds = dict(counters.dtypes)
+    value = lambda c: F.format_string("%.6f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    lines = [F.struct(F.lit(c).alias("metric"), F.concat(F.lit(f"{prefix}_{c} "), F.coalesce(value(c), F.lit("NaN"))).alias("line")) for c in counters.columns]
+    return counters.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
