@@ -2,6 +2,8 @@
 
 import zlib
 
+from hashlib import sha256
+
 import numpy as np
 import pytest
 import xxhash
@@ -60,6 +62,7 @@ def test_media_formats():
     assert (media.decode(media.encode_bmp(rgb)) == rgb).all()
     grey = rng.integers(0, 256, (6, 24), dtype=np.uint8)
     assert (media.decode(media.encode_pgm(grey)) == grey).all()
+    assert media.decode(media.encode_grey_bmp(grey)).shape == grey.shape and (media.decode(media.encode_grey_bmp(grey)) == grey).all()
     assert (media.decode(b"P6\n# a comment\n7 5 255\n" + rgb.tobytes()) == rgb).all()
     assert media.decode(b"P2\n2 2\n9\n1 2\n3 9\n").tolist() == [[1, 2], [3, 9]]
     assert media.decode(b"P1\n3 1\n1 0 1\n").tolist() == [[0, 255, 0]] == media.decode(b"P4\n3 1\n\xa0").tolist()
@@ -78,6 +81,29 @@ def test_area_resize_is_exact():
         assert media.area_resize(image, h, w) == pytest.approx(want)
 
 
+def test_media_query(spark, tmp_path):
+    """Both formats occur, tiles read back are NPY files of the resized image, an empty table gives no rows."""
+    texts = ["", None, "short", "x" * 576, "y" * 577, "é" * 700, "z " * 40_000, "short"]
+    schema = "doc_id long, text string, tile string"
+    spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in media.op2_media_columns(spark, str(tmp_path)).collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or 576 * (not raw))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        blocks = len(payload) // 576 % 2
+        kinds.add(blocks)
+        held = (media.encode_pgm if blocks else media.encode_grey_bmp)(image)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(held))
+        assert (r["payload_sha256"], r["media_sha256"]) == (sha256(payload).hexdigest(), sha256(held).hexdigest())
+        assert (r["feature"], r["tile_sha256"]) == (media.difference_hash(image), sha256(media.tile(image)).hexdigest())
+    assert kinds == {0, 1}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op2_media_columns(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_media_rows(spark):
     texts = [None, "", "x", "é" * 288, "y" * 577, "x", "long " * 20_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", F.lit(0).alias("media"))

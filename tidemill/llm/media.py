@@ -14,11 +14,14 @@ from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import per_batch, pick, stored, table, text_bytes
 
 UNIT = 576
 WIDTH = 24
+#: A palette of all greys: blue, green, red and a zero each.
+GREYS = b"".join(bytes((i, i, i, 0)) for i in range(256))
 
 
 def _header(raw: bytes, n: int) -> tuple[list[int], int]:
@@ -66,7 +69,7 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
-    """Uncompressed 8-bit (palette), 24-bit and 32-bit BMP as (height, width, 3) RGB."""
+    """Uncompressed 8-bit (palette), 24-bit and 32-bit BMP as (height, width, 3) RGB; (height, width) where a palette is all grey."""
     if raw[:2] != b"BM":
         raise ValueError("not a BMP image")
     at, head, width, height = struct.unpack_from("<I", raw, 10)[0], *struct.unpack_from("<Iii", raw, 14)
@@ -78,7 +81,9 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     pixels = rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)
     if depth == 8:
         n = struct.unpack_from("<I", raw, 46)[0] or 256
-        return np.frombuffer(raw, np.uint8, 4 * n, 14 + head).reshape(n, 4)[pixels[:, :, 0]][:, :, 2::-1]
+        palette = np.frombuffer(raw, np.uint8, 4 * n, 14 + head).reshape(n, 4)[:, 2::-1]
+        grey = (palette == palette[:, :1]).all()
+        return palette[:, 0][pixels[:, :, 0]] if grey else palette[pixels[:, :, 0]]
     return pixels[:, :, 2::-1]
 
 
@@ -91,6 +96,16 @@ def encode_bmp(rgb: np.ndarray) -> bytes:
     return head + rows.tobytes()
 
 
+def encode_grey_bmp(samples: np.ndarray) -> bytes:
+    """8-bit BMP under a palette of all greys."""
+    height, width = samples.shape
+    rows = np.zeros((height, (width + 3) // 4 * 4), np.uint8)
+    rows[:, :width] = samples[::-1]
+    at = 54 + len(GREYS)
+    head = struct.pack("<2sIHHI", b"BM", at + rows.size, 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 2835, 2835, 256, 0)
+    return head + GREYS + rows.tobytes()
+
+
 def decode(raw: bytes) -> np.ndarray:
     return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
 
@@ -131,8 +146,11 @@ def difference_hash(image: np.ndarray) -> str:
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media binary): each whole text as a grey image of width 24.
 
-    The samples are the text's UTF-8 bytes, then bytes 255 up to a positive multiple of 576.
-    A null text counts as empty; null ids and repeated rows stay as they are.
+    The samples are the text's UTF-8 bytes, then bytes 255 up to a positive multiple of 576. An
+    odd number of 576-byte blocks is stored as Netpbm, an even one as BMP, so the column holds
+    both formats and equal texts have equal media. A null text counts as empty; null ids and
+    repeated rows stay as they are; very long texts are images of as many rows; an empty table
+    gives an empty one; other columns are dropped, whatever their names.
     """
 
     def make():
@@ -141,7 +159,8 @@ def media_column(docs: DataFrame) -> DataFrame:
             media = []
             for raw in raws:
                 payload = raw + b"\xff" * ((-len(raw)) % UNIT or UNIT * (not raw))
-                media.append(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
+                samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+                media.append(encode_pgm(samples) if len(payload) // UNIT % 2 else encode_grey_bmp(samples))
             return {"doc_id": batch[0], "n_bytes": [len(r) for r in raws], "media": media}
 
         return run
@@ -172,8 +191,8 @@ def tiles(media: DataFrame, height: int = 16, width: int = 16, id_col: str = "do
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Digests of what the stored media decode to, and their features."""
-    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+    """Digests of what the stored media decode to, their features and their NPY tiles."""
+    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
 
     def make():
         def run(batch):
@@ -184,7 +203,7 @@ def digests(media: DataFrame) -> DataFrame:
                 "doc_id": batch[0], "n_bytes": batch[1], "payload_bytes": [len(p) for p in payloads],
                 "payload_sha256": [sha256(p).hexdigest() for p in payloads], "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
                 "media_bytes": [len(r) for r in raws], "media_sha256": [sha256(r).hexdigest() for r in raws],
-                "feature": [difference_hash(i) for i in images], "tile_sha256": [sha256(tile(i)).hexdigest() for i in images],
+                "feature": [difference_hash(i) for i in images], "tile": [tile(i) for i in images],
             }
 
         return run
@@ -193,4 +212,6 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    return digests(stored(media_column(table(spark, sf_dir, "documents"))))
+    """Media and NPY tiles are each written as a binary column and read back; tile_sha256 is of the tile as stored."""
+    made = stored(digests(stored(media_column(table(spark, sf_dir, "documents")))))
+    return made.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
