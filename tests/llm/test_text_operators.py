@@ -282,6 +282,27 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) + 2
 
 
+def test_license_pruning_loses_nothing():
+    """Passages of template words: the pruned search finds what Dice over all templates finds; windows find each licence in one text."""
+    t, r = licenses.Templates(licenses.TEMPLATES, 0.8), random.Random(3)
+    for _ in range(400):
+        found = licenses.words(r.choice(sorted(licenses.TEMPLATES.values())))
+        for _ in range(r.randint(0, len(found) // 6)):
+            i = r.randrange(len(found))
+            found[i : i + 1] = r.choice(([], ["other"], [found[i], "more"]))
+        found = found[: r.randint(1, len(found) + 1)] if r.random() < 0.3 else found
+        if not found:
+            continue
+        a = licenses.bigrams(found)
+        every = [(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), n) for n, b in t.grams.items()]
+        want = min((d for d in every if d[0] >= 0.8), key=lambda d: (-d[0], d[1]), default=None)
+        got = t.best(" ".join(found))
+        assert (got is None and want is None) or (got[1] == want[1] and got[0] == pytest.approx(want[0]))
+    whole = [n for n in licenses.TEMPLATES if not n.endswith("-notice")]
+    text = " and so on and on it goes for a while ".join(licenses.TEMPLATES[n] for n in whole)
+    assert set(whole) <= {n for d, n, *_ in t.windows(licenses.words(text)) if d > 0.95}
+
+
 def test_licenses_inside_longer_texts(spark):
     mit = licenses.TEMPLATES["MIT"]
     a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS")

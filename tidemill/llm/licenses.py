@@ -19,6 +19,14 @@ from .common import Memo, once, per_batch, pick, table
 LEAST = 0.8
 
 #: Texts of public licences and notices.
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
@@ -67,6 +75,61 @@ TEMPLATES = {
         "the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
         "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. " + _BSD_DISCLAIMER
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software "
+        "to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We "
+        "intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright "
+        'law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright "
+        "notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be "
+        "included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works "
+        "are solely in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING "
+        "THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
 }
 _word = re.compile(r"[^\W_]+")
 _gap = re.compile(r"\n[ \t\r]*\n")
@@ -82,6 +145,23 @@ def bigrams(found: list[str]) -> Counter:
     return Counter(zip(found, found[1:])) if len(found) > 1 else Counter((w, "") for w in found)
 
 
+class Spans:
+    """Windows by where they begin, so that only those near one another are compared; none is longer than `longest` words."""
+
+    def __init__(self, longest: float):
+        self.step, self.at = ceil(longest), defaultdict(list)
+
+    def add(self, window: tuple) -> None:
+        self.at[window[2] // self.step].append(window)
+
+    def near(self, window: tuple) -> list[tuple]:
+        k = window[2] // self.step
+        return [w for i in (k - 1, k, k + 1) for w in self.at.get(i, ())]
+
+    def all(self) -> list[tuple]:
+        return [w for i in sorted(self.at) for w in self.at[i]]
+
+
 class Templates:
     def __init__(self, texts: dict[str, str], least: float):
         self.least = least
@@ -113,10 +193,12 @@ class Templates:
 
 
     def windows(self, found: list[str]) -> list[tuple[float, str, int, int]]:
-        """(dice, template, first word, end) of windows of at least `least`, none inside that of a larger template.
+        """(dice, template, first word, end) of windows of at least `least`.
 
-        Of one template's windows that overlap, the most similar stays. A best window begins and
-        ends with a bigram of the template, so only those are tried.
+        Of one template's windows that overlap, the most similar stays; so it does of windows that
+        share half of the shorter one and whose templates' sizes are within the size bound (ties
+        to the larger template). What then lies inside a larger template's window is part of that.
+        A best window begins and ends with a bigram of the template, so only those are tried.
         """
         at: dict[str, list[tuple[int, tuple]]] = defaultdict(list)
         for i, g in enumerate(zip(found, found[1:])):
@@ -126,8 +208,8 @@ class Templates:
             for i, w in enumerate(found):
                 for name in self.by_gram.get((w, ""), ()):
                     at[name].append((i, (w, "")))
-        kept: list[tuple[float, str, int, int]] = []
-        for name in sorted(at, key=lambda n: (-self.size[n], n)):
+        every: list[tuple[float, str, int, int]] = []
+        for name in at:
             b, places, limits, seen = self.size[name], at[name], self.grams[name], []
             longest, fewest = b * (2 - self.least) / self.least, b * self.least / (2 - self.least)
             need = max(1, ceil(fewest - 1e-9))  # a window has as many bigrams of the template
@@ -147,12 +229,22 @@ class Templates:
                             top = (dice, i)
                 if top:
                     seen.append((top[0], name, start, top[1] + (1 if is_word(limits) else 2)))
-            own: list[tuple[float, str, int, int]] = []
+            own = Spans(longest + 2)
             for w in sorted(seen, key=lambda w: (-w[0], w[2], w[3])):
-                if not any(w[2] < o[3] and o[2] < w[3] for o in own) and not any(o[2] <= w[2] and w[3] <= o[3] for o in kept):
-                    own.append(w)
-            kept += own
-        return kept
+                if not any(w[2] < o[3] and o[2] < w[3] for o in own.near(w)):
+                    own.add(w)
+                    every.append(w)
+        kept = Spans(self.most_words + 2)
+        for w in sorted(every, key=lambda w: (-w[0], -self.size[w[1]], w[1], w[2])):
+            if not any(self.rivals(w, o) for o in kept.near(w)):
+                kept.add(w)
+        return [w for w in kept.all() if not any(self.size[o[1]] > self.size[w[1]] and o[2] <= w[2] and w[3] <= o[3] for o in kept.near(w))]
+
+    def rivals(self, x: tuple, y: tuple) -> bool:
+        """Whether two windows could be of the same passage: templates of like size, half of the shorter window shared."""
+        a, b = self.size[x[1]], self.size[y[1]]
+        shared = min(x[3], y[3]) - max(x[2], y[2])
+        return 2 * min(a, b) >= self.least * (a + b) and 2 * shared >= min(x[3] - x[2], y[3] - y[2])
 
 
 def is_word(grams: Counter) -> bool:
