@@ -194,7 +194,7 @@ FROM customer LEFT JOIN e ON o_custkey = c_custkey, q"""
 )
 def linear_quantile_buckets(spark, sf_dir):
     spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"))
-    cuts = spent.agg(F.percentile("spent", F.lit(0.33)).alias("a"), F.percentile("spent", F.lit(0.66)).alias("b"))
+    cuts = ordering.linear_quantiles(spent, "spent", {"a": 0.33, "b": 0.66})
     rows = table(spark, sf_dir, "customer").join(spent, F.col("o_custkey") == F.col("c_custkey"), "left").crossJoin(F.broadcast(cuts))
     s = F.col("spent")
     return rows.select("c_custkey", F.round(F.coalesce(s, F.lit(0.0)), 2).alias("spent"), F.when(s.isNull() | (s <= F.col("a")), "tail").when(s <= F.col("b"), "torso").otherwise("head").alias("bucket"))
