@@ -269,3 +269,32 @@ def test_feedback_sink_rejects_unknown_kinds(spark, tmp_path):
     streams.append_feedback(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/accepted")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 2
+
+
+def test_sequences_round_half_seconds_to_even(spark):
+    from tidemill.plans import preparation
+
+    folder = f"{new_folder()}/events.parquet"
+    rows = [(i, f"2024-01-01 00:00:0{i}.500000", 1, "view", 1.0, '{"k": 7}') for i in range(6)] + [(9, "1969-12-31 23:59:56.500000", 1, "view", 1.0, '{"k": 7}')]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    made.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(folder)
+    got = preparation.user_sequences(spark, folder.rsplit("/", 1)[0]).first()["train_seconds"]
+    assert got == [-4, 1704067200, 1704067202, 1704067202, 1704067204]
+    assert got == duck_on(folder, preparation.SQL["user_sequences"], "train_seconds")[0]
+
+
+def new_folder():
+    """A new local folder for tables that a test writes."""
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tidemill-test-")
+
+
+def duck_on(folder, sql, *columns):
+    """What DuckDB gives for these columns on one written events table."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    found = c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    return [r[0] for r in found] if len(columns) == 1 else found

@@ -71,9 +71,9 @@ def enrich(split: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def sequences(split: DataFrame) -> DataFrame:
-    """One row per user: train items and their epoch seconds in order, and the two held-out targets (null if absent)."""
+    """One row per user: train items and their epoch seconds (a half to the even one) in order, and the two held-out targets (null if absent)."""
     micros = F.unix_micros(F.col("event_time").cast("timestamp"))
-    rows = split.withColumn("seconds", F.round(micros / F.lit(1e6)).cast("long"))
+    rows = split.withColumn("seconds", F.bround(micros / F.lit(1e6)).cast("long"))
     train = F.when(F.col("split") == "train", F.struct("history_position", "item_id", "seconds"))
     out = rows.groupBy("user_id").agg(
         F.array_sort(F.collect_list(train)).alias("_train"),
