@@ -283,6 +283,18 @@ def test_sequences_round_half_seconds_to_even(spark):
     assert got == duck_on(folder, preparation.SQL["user_sequences"], "train_seconds")[0]
 
 
+def test_json_and_picks_pass_over_nulls(spark):
+    from tidemill.plans import relational
+
+    folder = f"{new_folder()}/events.parquet"
+    rows = [(1, None, 5.0, None), (2, "a", None, None), (3, "a", 60.0, '{"k": 1}'), (None, "a", 1.0, '{"k": 1}'), (9, "b", math.nan, None), (10, "c", None, '{"k": 1}'), (None, "d", 3.0, None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, props string").coalesce(1).write.parquet(folder)
+    names = ["event_type", "summary", "has_k", "cheapest", "last_dear", "dear"]
+    got = [tuple(r) for r in relational.json_and_picks(spark, folder.rsplit("/", 1)[0]).select(*names).collect()]
+    assert ("a", '{"kind":"a","n":3,"top":3}', True, 3, 3, 1) in got and (None, '{"kind":null,"n":1,"top":1}', False, 1, None, 0) in got
+    assert sorted(got, key=repr) == sorted(duck_on(folder, relational.SQL["json_and_picks"], *names), key=repr)
+
+
 def new_folder():
     """A new local folder for tables that a test writes."""
     import tempfile

@@ -148,13 +148,16 @@ def logit_maps(spark, sf_dir):
 arg_min(event_id, value) AS cheapest, max(event_id) FILTER (WHERE value > 50) AS last_dear, sum((value > 50)::INT)::BIGINT AS dear FROM events GROUP BY event_type"""
 )
 def json_and_picks(spark, sf_dir):
+    """Null values and ids are never picked; of equal values the smallest event_id is, where the SQL leaves the choice open."""
     e = table(spark, sf_dir, "events")
-    dear = F.col("value") > 50
+    dear, known = F.col("value") > 50, F.col("value").isNotNull() & F.col("event_id").isNotNull()
     out = e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.max("event_id").alias("top"), F.any_value(F.get_json_object("props", "$.k")).isNotNull().alias("has_k"), F.min_by("event_id", F.struct("value", "event_id")).alias("cheapest"),
+        F.count("*").alias("n"), F.max("event_id").alias("top"), F.any_value(F.get_json_object("props", "$.k"), True).isNotNull().alias("has_k"),
+        F.min_by("event_id", F.when(known, F.struct("value", "event_id"))).alias("cheapest"),
         F.max(F.when(dear, F.col("event_id"))).alias("last_dear"), F.sum(dear.cast("int")).alias("dear"),
     )
-    return out.select("event_type", F.to_json(F.struct(F.col("event_type").alias("kind"), "n", "top")).alias("summary"), "has_k", "cheapest", "last_dear", "dear")
+    summary = F.to_json(F.struct(F.col("event_type").alias("kind"), "n", "top"), {"ignoreNullFields": "false"})
+    return out.select("event_type", summary.alias("summary"), "has_k", "cheapest", "last_dear", "dear")
 
 
 @query(
