@@ -309,6 +309,29 @@ def test_recall_of_a_large_shard(kind):
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), true.tolist())]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["sphere", "norms", "clusters"])
+def test_lists_are_as_long_as_the_shards_need(kind):
+    rng = np.random.default_rng(0)
+    v, q = np.split(rng.normal(size=(8400, 64)), [8192])
+    if kind == "sphere":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "norms":
+        v *= np.exp(0.5 * rng.normal(size=(8192, 1)))
+    if kind == "clusters":
+        middle = rng.normal(size=(64, 64))
+        v, q = middle[rng.integers(0, 64, 8192)] + 0.3 * v, middle[rng.integers(0, 64, 208)] + 0.3 * q
+    pairs = []
+    for part in range(4):
+        mine = np.arange(part, 8192, 4)
+        graph = hnsw.Hnsw.build(hnsw.Hnsw.augmented(v[mine]), most=8)
+        pairs.append(mine[graph.search(q, 20, graph.ef)])
+        assert graph.ef <= {"sphere": 192, "norms": 384, "clusters": 64}[kind]  # 512 before, whatever the data
+    found = np.hstack(pairs)
+    best = np.take_along_axis(found, np.argsort(-np.einsum("qd,qcd->qc", q, v[found]), axis=1)[:, :20], 1)
+    true = np.argsort(-(q @ v.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.tolist(), true.tolist())]) >= 0.93
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0]), (40, [3.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(df).orderBy("query_id", "rank").collect()]

@@ -7,8 +7,11 @@ operations. Each shard holds a bounded number of different vectors; its best are
 the other shards' by exact inner products of the original vectors in double precision. Only the
 graph's own copies are of single precision, scaled so that they stay finite.
 
-The search list of 512 is set for full shards of hard data: at 8,192 vectors of 64 dimensions
-recall at 20 is 0.97 on Gaussian vectors, 0.91 with norms that vary besides, 1.00 on clusters.
+How long a search list must be depends on the data and on how many shards share the nearest:
+with many, a shard need find only its first few. So each shard of over 1,024 vectors measures it
+as it is built: 64 vectors that the graph doesn't hold yet are searched and compared with brute
+force over the shard, and the shortest list whose recall is 0.96 or more is kept with the shard.
+Smaller shards take 512.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from .common import pick, stored, table
 from .components import hot_join
 
 M, EF_BUILD, EF_SEARCH = 16, 80, 512
+LISTS, HELD, RECALL = (64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048), 64, 0.96
 
 
 def scaled(vectors: np.ndarray, by) -> np.ndarray:
@@ -34,6 +38,7 @@ class Hnsw:
 
     def __init__(self, vectors: np.ndarray, level: np.ndarray, layers: list[np.ndarray], entry: int):
         self.vectors, self.level, self.layers, self.entry = vectors, level, layers, entry
+        self.ef = EF_SEARCH
 
     @staticmethod
     def augmented(vectors: np.ndarray) -> np.ndarray:
@@ -42,21 +47,37 @@ class Hnsw:
         return np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
 
     @classmethod
-    def build(cls, vectors: np.ndarray, seed: int = 0, batch: int = 256) -> Hnsw:
-        """vectors: augmented, float32, at least one, all different."""
+    def build(cls, vectors: np.ndarray, seed: int = 0, batch: int = 256, most: int = 0) -> Hnsw:
+        """vectors: augmented, float32, at least one, all different. most: sets ef for so many of the nearest; the last vectors are then a sample."""
         n = len(vectors)
         u = np.random.default_rng(seed).random(n)
         level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(M)).astype(np.int64), 8)
         level = level[np.argsort(-level, kind="stable")]  # highest first: every layer is complete before the one below
         layers = [np.full((int((level >= k).sum()), 2 * M if k == 0 else M), -1, np.int32) for k in range(int(level[0]) + 1)]
         graph = cls(vectors, level, layers, 0)
-        at = 1
-        while at < n:
-            size = min(batch, max(1, at // 4), n - at)
-            graph._insert(np.arange(at, at + size))
-            at += size
+        at, held = 1, HELD if most and n > 1024 else 0
+        for end in (n - held, n):
+            while at < end:
+                size = min(batch, max(1, at // 4), end - at)
+                graph._insert(np.arange(at, at + size))
+                at += size
+            if at < n:
+                graph.ef = graph._shortest_list(at, most)
         return graph
 
+    def _shortest_list(self, n: int, most: int) -> int:
+        """The shortest search list that finds the `most` nearest among the first n, for the vectors after them; equal similarities are as good."""
+        q = self.vectors[n:].copy()
+        q[:, -1] = 0
+        sims = q @ self.vectors[:n].T
+        least = -np.partition(-sims, most - 1, axis=1)[:, most - 1]
+        least -= 1e-6 * np.abs(sims).max(axis=1)
+        for ef in LISTS:
+            found = self.search_layer(q, self._descend(q), max(ef, most), 0)[1][:, :most]
+            if (found >= least[:, None]).mean() >= RECALL:
+                break
+        return ef
+
     def _insert(self, new: np.ndarray) -> None:
         q = self.vectors[new]
         entry = np.zeros((len(new), 1), np.int64)
@@ -116,48 +137,60 @@ class Hnsw:
             sim = np.einsum("rd,rcd->rc", self.vectors[nodes[full]], self.vectors[np.maximum(rows, 0)])
             layer[nodes[full]] = self._diverse(rows, np.where(rows < 0, -np.inf, sim), width)
 
-    def search_layer(self, q: np.ndarray, entry: np.ndarray, ef: int, k: int, limit: int | None = None, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ef most similar vectors found in layer k for each query: numbers (-1: none) and similarities."""
-        layer = self.layers[k]
-        rows = len(q)
-        seen = np.zeros((rows, len(layer)), bool)
+    def search_layer(self, q: np.ndarray, entry: np.ndarray, ef: int, k: int, limit: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """The ef most similar vectors found in layer k for each query: numbers (-1: none) and similarities, best first.
+
+        Each round opens the `step` best of every list at once. Lists are cut without being
+        sorted, and only vectors not met before are compared.
+        """
+        layer, rows = self.layers[k], len(q)
+        n = len(layer)
+        met = np.zeros(rows * n, np.int32)
         ids = np.full((rows, ef), -1, np.int64)
         sims = np.full((rows, ef), -np.inf, np.float32)
-        done = np.ones((rows, ef), bool)
         m = min(ef, entry.shape[1])
         ids[:, :m] = entry[:, :m]
-        got = ids[:, :m] >= 0
-        sims[:, :m] = np.where(got, np.einsum("rd,rcd->rc", q, self.vectors[np.maximum(ids[:, :m], 0)]), -np.inf)
-        done[:, :m] = ~got
-        r, c = np.nonzero(got)
-        seen[r, ids[r, c]] = True
-        step = min(step, ef)
-        active = np.arange(rows)
+        r, c = np.nonzero(ids >= 0)
+        sims[r, c] = np.einsum("kd,kd->k", q[r], self.vectors[ids[r, c]])
+        met[r * n + ids[r, c]] = 1
+        done = ids < 0
+        step, active = min(step, ef), np.arange(rows)
         while len(active):
             open_sims = np.where(done[active], -np.inf, sims[active])
-            best = np.argsort(-open_sims, axis=1, kind="stable")[:, :step]
+            best = np.argpartition(-open_sims, step - 1, axis=1)[:, :step]
             real = np.isfinite(np.take_along_axis(open_sims, best, 1))
-            alive = real[:, 0]
+            alive = real.any(axis=1)
             active, best, real = active[alive], best[alive], real[alive]
             if not len(active):
                 break
-            nodes = np.where(real, np.take_along_axis(ids[active], best, 1), 0)
-            mark = done[active]
-            np.put_along_axis(mark, best, True, 1)
-            done[active] = mark
-            near = np.where(real[:, :, None], layer[nodes], -1).reshape(len(active), -1).astype(np.int64)
-            near = np.sort(near, axis=1)  # a vector that two nodes share counts once
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(fresh)
-            seen[active[r], near[r, c]] = True
-            sim = np.where(fresh, np.einsum("rd,rcd->rc", q[active], self.vectors[np.maximum(near, 0)]), -np.inf)
-            all_ids = np.hstack([ids[active], np.where(fresh, near, -1)])
-            all_sims = np.hstack([sims[active], sim])
-            all_done = np.hstack([done[active], ~fresh])
-            top = np.argsort(-all_sims, axis=1, kind="stable")[:, :ef]
+            mine, at = np.nonzero(real)
+            at = best[mine, at]
+            done[active[mine], at] = True
+            near = layer[ids[active[mine], at]]
+            which, c = np.nonzero(near >= 0)
+            near, mine = near[which, c].astype(np.int64), mine[which]
+            place = active[mine] * n + near
+            fresh = met[place] == 0
+            near, mine, place = near[fresh], mine[fresh], place[fresh]
+            mark = np.arange(1, len(place) + 1, dtype=np.int32)
+            met[place] = mark  # of a vector that several nodes share, one stays
+            one = met[place] == mark
+            near, mine = near[one], mine[one]
+            sim = np.einsum("kd,kd->k", q[active[mine]], self.vectors[near])
+            better = sim > sims[active].min(axis=1)[mine]
+            near, mine, sim = near[better], mine[better], sim[better]
+            if not len(mine):
+                continue
+            count = np.bincount(mine, minlength=len(active))
+            c = ef + np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)  # mine is in order
+            shape = (len(active), ef + int(count.max()))
+            all_ids, all_sims, all_done = np.full(shape, -1, np.int64), np.full(shape, -np.inf, np.float32), np.ones(shape, bool)
+            all_ids[:, :ef], all_sims[:, :ef], all_done[:, :ef] = ids[active], sims[active], done[active]
+            all_ids[mine, c], all_sims[mine, c], all_done[mine, c] = near, sim, False
+            top = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
             ids[active], sims[active], done[active] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
-        return ids, sims
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def search(self, q: np.ndarray, most: int, ef: int = EF_SEARCH, block: int = 256) -> np.ndarray:
         """Numbers of about the `most` most similar vectors of each query, -1 for none."""
@@ -165,12 +198,16 @@ class Hnsw:
         for i in range(0, len(q), block):
             part = scaled(q[i : i + block], np.abs(q[i : i + block]).max(axis=1, keepdims=True))
             part = np.hstack([part, np.zeros((len(part), 1))]).astype(np.float32)
-            entry = np.zeros((len(part), 1), np.int64)
-            for k in range(len(self.layers) - 1, 0, -1):
-                entry = self.search_layer(part, entry, 1, k)[0]
-            out.append(self.search_layer(part, entry, max(ef, most), 0)[0][:, :most])
+            out.append(self.search_layer(part, self._descend(part), max(ef, most), 0)[0][:, :most])
         return np.vstack(out)
 
+    def _descend(self, q: np.ndarray) -> np.ndarray:
+        """Where each query enters the lowest layer."""
+        entry = np.zeros((len(q), 1), np.int64)
+        for k in range(len(self.layers) - 1, 0, -1):
+            entry = self.search_layer(q, entry, 1, k)[0]
+        return entry
+
     def pack(self) -> dict:
         return {"level": self.level.astype("<i4").tobytes(), "neighbours": b"".join(x.astype("<i4").tobytes() for x in self.layers)}
 
@@ -203,17 +240,18 @@ def index(vectors: DataFrame, most: int, shard_size: int) -> DataFrame:
     few = vectors.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("at") <= most)
     groups = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, -(-groups.count() // shard_size))
+    wanted = min(most, -(-most // shards) + 2)  # of the nearest, a shard has as many on average, and two to be safe
     groups = groups.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        # highest hash first is as good as any order, and the same in every attempt
-        pdf = pdf.assign(first=[x[0] for x in pdf["ids"]]).sort_values("first")
+        # a mixed order, the same in every attempt, so that the last vectors are a sample
+        pdf = pdf.assign(first=[x[0] for x in pdf["ids"]]).sort_values("first").iloc[np.random.default_rng(0).permutation(len(pdf))]
         v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        graph = Hnsw.build(Hnsw.augmented(v))
+        graph = Hnsw.build(Hnsw.augmented(v), most=wanted)
         ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "n": len(v), "vectors": v.tobytes(), "ids": np.concatenate(ids).tobytes(), "counts": np.array([len(x) for x in ids], "<i4").tobytes(), **graph.pack()}])
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "n": len(v), "vectors": v.tobytes(), "ids": np.concatenate(ids).tobytes(), "counts": np.array([len(x) for x in ids], "<i4").tobytes(), "ef": graph.ef, **graph.pack()}])
 
-    schema = "dim int, shard int, n long, vectors binary, ids binary, counts binary, level binary, neighbours binary"
+    schema = "dim int, shard int, n long, vectors binary, ids binary, counts binary, ef int, level binary, neighbours binary"
     return stored(groups.groupBy("dim", "shard").applyInPandas(build, schema))
 
 
@@ -249,7 +287,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_size: int =
         ids, start = np.frombuffer(s["ids"], np.int64), np.concatenate([[0], np.cumsum(counts)])
         graph = Hnsw.unpack(Hnsw.augmented(v), s["level"], s["neighbours"])
         q = np.stack(part["v"].to_numpy()).astype(np.float64)
-        found = graph.search(q, k + 1)
+        found = graph.search(q, k + 1, int(s["ef"]))
         out = []
         for name, qv, row in zip(part["qkey"], q, found):
             row = row[row >= 0]
