@@ -2,32 +2,51 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result
 is written as Parquet in the shared folder and read again as the next one's docs. All but the
-last return the columns of documents.
+last return the columns of documents. Executors give unused heap back before a stage and again
+before its result is written, when Python workers need the room.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import language_id, packing, simhash, toxicity
-from tidemill.llm.common import stored, table
+from tidemill.llm.common import lean, stored, table
+
+
+def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean(spark)
+        out = stage(spark, docs, sf_dir)
+        lean(spark)
+        return out
+
+    return run
 
 
+@_lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; learned from this stage's documents and their labels."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_lean
 def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; null texts, texts without a letter and undecided ones go."""
     return language_id.keep_told(docs, language_id.train(docs))
 
 
+@_lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
     return simhash.keep_one(docs)
 
 
+@_lean
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     return packing.pack(docs)

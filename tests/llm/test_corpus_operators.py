@@ -370,3 +370,16 @@ def test_registry():
 
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_pipeline_gives_heap_back(spark, sf):
+    """Each stage collects garbage as it begins and before its result is written, so a heap grown by one stage doesn't stay beside the workers of the next."""
+    import corpus_pipeline
+
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(m.getCollectionCount() for m in collectors if "Young" not in m.getName() and "Scavenge" not in m.getName())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, sf)
+        assert whole() >= before + 2, name

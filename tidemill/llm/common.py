@@ -59,6 +59,19 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their heaps shrink to what is in use.
+
+    A JVM gives memory back to the system only then. Without it a heap that joins and sorts of
+    earlier stages have grown stays at its full size beside the Python workers of later ones.
+    Tasks don't choose their executor, so there are two for every core; requests that meet in one
+    JVM are one collection.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    collected = spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
