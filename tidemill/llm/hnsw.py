@@ -166,23 +166,23 @@ class Hnsw:
             mine, at = np.nonzero(real)
             at = best[mine, at]
             done[active[mine], at] = True
-            near = layer[ids[active[mine], at]]
-            which, c = np.nonzero(near >= 0)
-            near, mine = near[which, c].astype(np.int64), mine[which]
-            place = active[mine] * n + near
-            fresh = met[place] == 0
-            near, mine, place = near[fresh], mine[fresh], place[fresh]
+            near = layer.take(ids[active[mine], at], axis=0)
+            place = near + (active[mine] * n)[:, None]
+            # a missing neighbour (-1) looks up another row's mark, or the last one's; it is left out anyway
+            fresh = np.flatnonzero((met.take(place) == 0) & (near >= 0))
+            near, mine, place = near.take(fresh).astype(np.int64), mine.take(fresh // near.shape[1]), place.take(fresh)
             mark = np.arange(1, len(place) + 1, dtype=np.int32)
             met[place] = mark  # of a vector that several nodes share, one stays
-            one = met[place] == mark
-            near, mine = near[one], mine[one]
-            sim = np.einsum("kd,kd->k", q[active[mine]], self.vectors[near])
-            better = sim > sims[active].min(axis=1)[mine]
-            near, mine, sim = near[better], mine[better], sim[better]
+            one = np.flatnonzero(met.take(place) == mark)
+            near, mine = near.take(one), mine.take(one)
+            count = np.bincount(mine, minlength=len(active))  # mine is in order
+            sim = np.einsum("kd,kd->k", np.repeat(q[active], count, axis=0), self.vectors.take(near, axis=0))
+            better = np.flatnonzero(sim > np.repeat(sims[active].min(axis=1), count))
+            near, mine, sim = near.take(better), mine.take(better), sim.take(better)
             if not len(mine):
                 continue
             count = np.bincount(mine, minlength=len(active))
-            c = ef + np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)  # mine is in order
+            c = ef + np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
             shape = (len(active), ef + int(count.max()))
             all_ids, all_sims, all_done = np.full(shape, -1, np.int64), np.full(shape, -np.inf, np.float32), np.ones(shape, bool)
             all_ids[:, :ef], all_sims[:, :ef], all_done[:, :ef] = ids[active], sims[active], done[active]
